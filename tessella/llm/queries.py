@@ -6,7 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.runtime import table
+from tessella.runtime import scratch, table
+
+
+def op1_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    from tessella.llm.packing import pack_documents
+
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, keep=(crc,))
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,8 +22,18 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op10_sorted_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from tessella.llm.sst import read_shards, write_shards
+
+    root = scratch(spark, "shards")
+    write_shards(table(spark, folder, "documents"), root, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_shards(spark, root).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op1_pack_documents": op1_pack_documents,
     "op9_token_counts": op9_token_counts,
+    "op10_sorted_shards": op10_sorted_shards,
 }
 
 SQL: dict[str, str] = {}
