@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import mixing
 from tessella.runtime import scratch, table
 
 
@@ -16,6 +17,13 @@ def op1_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, keep=(crc,))
 
 
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    from tessella.llm.mixing import plan_mix
+
+    mix = plan_mix(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, max_copies=2)
+    return mix.decisions().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tessella.llm.token_counts import token_counts
 
@@ -32,8 +40,11 @@ def op10_sorted_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
+    "op2_mix_sources": op2_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_sorted_shards": op10_sorted_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_mix_sources": mixing.sql(),
+}
