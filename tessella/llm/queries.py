@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing
+from tessella.llm import mixing, parity_join
 from tessella.runtime import scratch, table
 
 
@@ -24,6 +24,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix.decisions().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op8_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return parity_join.jaccard_groups(table(spark, folder, "documents"), k=3, num=90, den=100)
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tessella.llm.token_counts import token_counts
 
@@ -41,10 +45,12 @@ def op10_sorted_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_mix_sources": op2_mix_sources,
+    "op8_jaccard_groups": op8_jaccard_groups,
     "op9_token_counts": op9_token_counts,
     "op10_sorted_shards": op10_sorted_shards,
 }
 
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.sql(),
+    "op8_jaccard_groups": parity_join.sql(),
 }
