@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.tokens import _SPACED, CACHE_UNITS, Vocabulary, strings
+from tessella.llm.tokens import _SPACED, CACHE_UNITS, Vocabulary, byte_letters, strings
 
 #: The split pattern of byte-level vocabularies, a fixed value of their file format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -30,13 +30,6 @@ _KNOWN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*\Z")
 _counters: dict[int, "Counter"] = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write bytes: printable bytes as themselves, others from U+0100 on."""
-    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 def whole_tokens(library) -> set[str]:
     """The vocabulary strings that are one pre-token and encode alone as their own id."""
     letters, texts, ids = byte_letters(), [], []

@@ -19,19 +19,23 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: Most units held by one worker for one vocabulary (about 100 MB with their ids).
-CACHE_UNITS = 500_000
+#: Most units held by one worker for one vocabulary (about 50 MB with their ids).
+CACHE_UNITS = 250_000
 #: ASCII marks that always end a run of letters, and never join it.
 MARKS = ".,;:!?*%&#$|"
 
 _SPACED = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
-_CORE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]\Z")
+#: Letters that every Unicode version knows, that NFC leaves alone and that have one lower-case letter.
+_LETTERS = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)").fullmatch
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise RuntimeError("ids are written as the machine's unsigned integers: 4 bytes, little-endian")
 _encoders: dict[int, "Encoder"] = {}
 
 
@@ -58,42 +62,71 @@ class Vocabulary:
         return _encoders[key]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable bytes as themselves, others from U+0100 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class _Units(dict):
-    """Unit -> little-endian unsigned 32-bit ids."""
+    """Unit -> little-endian unsigned 32-bit ids. Letters with marks behind them are letters, then marks."""
 
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead, self.tails = encode, lead, {}
+    def __init__(self, whole, letters, lead: str):
+        self.whole, self.letters, self.lead, self.tails = whole, letters, lead, {}
 
     def __missing__(self, unit: str) -> bytes:
-        core = unit.rstrip(MARKS)
-        if core != unit and core and _CORE.search(core):
-            tail = unit[len(core) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.encode(tail)
-            ids = self[core] + self.tails[tail]
+        found = _LETTERS(unit)
+        if found is None:
+            ids = self.whole(self.lead + unit)
         else:
-            ids = self.encode(self.lead + unit)
+            core, tail = found.groups()
+            if tail:
+                end = self.tails.get(tail)
+                if end is None:
+                    end = self.whole(tail)
+                    if len(self.tails) < 10_000:
+                        self.tails[tail] = end
+                ids = self[core] + end
+            else:
+                ids = self.letters(core)
         if len(self) < CACHE_UNITS:
             self[unit] = ids
-        if len(self.tails) > 10_000:
-            self.tails.clear()
         return ids
 
 
 class Encoder:
+    """A vocabulary's ids. Runs of plain letters are single pre-tokens and go straight to the library's merge model."""
+
     def __init__(self, text: str, byte_level: bool):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model.tokenize
         self.byte_level = byte_level
-        self.units = _Units(self.whole, " " if byte_level else "")
-        self.firsts = _Units(self.whole, "") if byte_level else self.units
+        letter = {b: c for c, b in byte_letters().items()}
+        self.written = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x20, 0x100)}
+        self.space = self.written[0x20]
+        self.units = _Units(self.whole, self._after_space if byte_level else self._lowered, " " if byte_level else "")
+        self.firsts = _Units(self.whole, self._merged, "") if byte_level else self.units
+
+    def _merged(self, letters: str) -> bytes:
+        """Ids of a pre-token of letters."""
+        return array("I", [t.id for t in self.model(letters if letters.isascii() else letters.translate(self.written))]).tobytes()
+
+    def _after_space(self, letters: str) -> bytes:
+        """Ids of a pre-token of letters with a space before them."""
+        return array("I", [t.id for t in self.model(self.space + (letters if letters.isascii() else letters.translate(self.written)))]).tobytes()
+
+    def _lowered(self, letters: str) -> bytes:
+        low = letters.lower()
+        return self._merged(low) if low == letters else self.units[low]
 
     def whole(self, text: str) -> bytes:
         """The library's ids of a text."""
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
