@@ -24,6 +24,12 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix.decisions().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from tessella.llm.quality import classify
+
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3, held_mod=5)
+
+
 def op8_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.jaccard_groups(table(spark, folder, "documents"), k=3, num=90, den=100)
 
@@ -45,6 +51,7 @@ def op10_sorted_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_mix_sources": op2_mix_sources,
+    "op4_quality": op4_quality,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_token_counts": op9_token_counts,
     "op10_sorted_shards": op10_sorted_shards,
