@@ -13,16 +13,21 @@ at most t of the p chunks of a linked pair differ.
 below R^(g+1), so every linked pair meets in the band of its smaller set; p is t + 1
 for the band's largest sizes plus a margin for empty chunks.
 
-*Pigeonhole join.* Sketches that differ in at most t chunks agree in one that isn't
-zero, provided one of the two has more than t such; so those chunks are the join
-keys, and a document with fewer also emits its zero chunks. All documents of a key
-go to its least one (the key's *home*); a pair that shares a key shares a home.
-
-*Verify.* Each home's documents are compared in square blocks of bounded bytes:
-first by size and Hamming distance, then by the sets themselves. A pair that is
-already connected within its block isn't looked at again, and a block returns a
-tree of links (not all pairs), which is all that groups need. No home is capped:
-a larger one just has more blocks.
+*Pigeonhole join.* Sketches that differ in at most t chunks agree in one with more
+than LIGHT bits, provided one of the two has more than t such; so those chunks are
+the join keys, and a document with fewer also emits its light chunks (which, with
+so few elements, unrelated documents can share). All documents of a key go to its
+least one (the key's *home*); a pair that shares a key shares a home.
+
+*Prune.* Each home's documents are compared in square blocks of bounded size by
+set size and the Hamming distance of one plain sketch of about as many bits as the
+set has elements. What stays apart here is apart; the rest falls into small
+candidate groups, and equal groups of different homes become one.
+
+*Verify.* Only then are sets compared, group by group. A pair that is already
+connected within its group isn't looked at again, and a group returns a tree of
+links (not all pairs), which is all that components need. No home is capped: a
+larger one just has more blocks.
 
 Equal sets are one class from the start (joined by a 128-bit digest), so thousands
 of copies cost one document. Sets of candidates are made anew from the texts of
@@ -50,10 +55,10 @@ from pyspark.sql import functions as F
 from tessella.llm.components import components
 from tessella.runtime import materialize
 
-RATIO = 1.5
+RATIO = 1.25
 #: Documents and bytes of sets on each side of a block.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 24
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
@@ -115,15 +120,23 @@ class Bands:
             g += 1
         out = []
         while g >= 0 and n <= self.high(g):
-            if self.plan(g)[0]:
+            if self.differences(self.high(g), self.high(g)):
                 out.append(g)
             g -= 1
         return out
 
-    def plan(self, g: int) -> tuple[int, int]:
-        """t and p of a band."""
+    def plan(self, g: int) -> tuple[int, int, int]:
+        """t, p and the most bits of a light chunk for a band: the largest that leaves enough others to its smallest sets."""
         t = int(self.differences(self.high(g), self.high(g)))
-        return t, t + 2 + math.ceil(1.5 * t * math.exp(-self.low(g) / (t + 1)))
+        for light in (3, 2, 1, 0):
+            p = t + 2
+            while p <= 1.35 * t + 6:
+                mean, few = self.low(g) / p, 0.0
+                few = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(light + 1))
+                if p * (1 - few) >= t + 1 + 2 * math.sqrt(p * few):
+                    return t, p, light
+                p += max(1, p // 40)
+        return t, t + 2 + math.ceil(1.5 * t * math.exp(-self.low(g) / (t + 1))), 0
 
 
 def sketch(s: np.ndarray, p: int) -> np.ndarray:
@@ -137,33 +150,49 @@ def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     """The join keys of a set in all of its bands."""
     out = []
     for g in bands.of(len(s)):
-        t, p = bands.plan(g)
+        t, p, light = bands.plan(g)
         words = sketch(s, p)
         at = np.arange(p, dtype=np.uint64)
-        full = words != 0
+        full = np.bitwise_count(words) > light
         if full.sum() > t:
             words, at = words[full], at[full]
-        out.append(mix(mix(words + _ODD * (at + np.uint64(1))) + np.uint64(g + 1) * np.uint64(0xD6E8FEB86659FD93)))
+        band = np.full(1, g + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(mix(mix(words + _ODD * (at + np.uint64(1))) + band))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def plain(s: np.ndarray) -> np.ndarray:
+    """One sketch of a power of two bits, at least as many as the set has elements; halves fold onto each other."""
+    words = max(1, 1 << (max(len(s), 64) - 1).bit_length() - 6)
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def fold(words: np.ndarray, n: int) -> np.ndarray:
+    while len(words) > n:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _sketch_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, lists, ends = [], [], [], [0]
+        sizes, digests, bits, lists, ends = [], [], [], [], [0]
         for null, text in zip(batch.column(0).is_null().to_pylist(), batch.column(2).to_pylist(), strict=True):
             s = shingles(text, k)
             sizes.append(len(s))
             if null or not len(s):
                 digests.append(None)
+                bits.append(None)
                 lists.append(s[:0])
             else:
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bits.append(plain(s).tobytes())
                 lists.append(keys(s, bands))
             ends.append(ends[-1] + len(lists[-1]))
         flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-            names=["id", "th", "n", "fp", "keys"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+            names=["id", "th", "n", "fp", "bits", "keys"],
         )
 
 
@@ -181,23 +210,41 @@ def _set_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
-def linked(bands: Bands, nodes: list[int], sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
-    """A tree (node, root) for each group of linked sets; ``side`` tells the two sides of a block apart (one side: all pairs)."""
-    m, sizes, sides = len(nodes), np.array([len(s) for s in sets], np.int64), np.array(side)
-    apart = len(set(side)) > 1
-    words = np.stack([sketch(s, max(4, int(sizes.max()) // 8)) for s in sets])
-    label = np.arange(m)
-    for i in range(m - 1):
-        at = np.arange(i + 1, m)
+def near(bands: Bands, words: np.ndarray, sizes: np.ndarray, i: int, at: np.ndarray) -> np.ndarray:
+    """Those of ``at`` whose size and Hamming distance allow a link with ``i``."""
+    a, c = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
+    at = at[bands.den * a >= bands.num * c]
+    if at.size:
+        far = np.bitwise_count(words[at] ^ words[i]).sum(axis=1, dtype=np.int64)
+        at = at[far <= bands.differences(sizes[at], sizes[i])]
+    return at
+
+
+def candidates(bands: Bands, nodes: list[int], sizes: list[int], bits: list[np.ndarray], side: list[int]) -> list[list[int]]:
+    """The groups that possible links make; ``side`` tells the two sides of a block apart (one side: all pairs)."""
+    least = min(map(len, bits))
+    n, words, sides = np.array(sizes, np.int64), np.stack([fold(b, least) for b in bits]), np.array(side)
+    apart, label = len(set(side)) > 1, np.arange(len(nodes))
+    for i in range(len(nodes) - 1):
+        at = np.arange(i + 1, len(nodes))
         rest = label[at] != label[i]
         if apart:
             rest &= sides[at] != sides[i]
-        a, c = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
-        at = at[rest & (bands.den * a >= bands.num * c)]
-        if at.size:
-            far = np.bitwise_count(words[at] ^ words[i]).sum(axis=1, dtype=np.int64)
-            at = at[far <= bands.differences(sizes[at], sizes[i])]
-        for j in at.tolist():
+        for one in np.unique(label[near(bands, words, n, i, at[rest])]):
+            label[label == one] = label[i]
+    order = np.argsort(label, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    return [[nodes[x] for x in g] for g in groups if len(g) > 1]
+
+
+def linked(bands: Bands, nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A tree (node, root) for each group of linked sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    words = np.stack([sketch(s, max(4, int(sizes.max()) // 8)) for s in sets])
+    label = np.arange(len(nodes))
+    for i in range(len(nodes) - 1):
+        at = np.arange(i + 1, len(nodes))
+        for j in near(bands, words, sizes, i, at[label[at] != label[i]]).tolist():
             if label[i] == label[j]:
                 continue
             both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
@@ -211,29 +258,49 @@ def linked(bands: Bands, nodes: list[int], sets: list[np.ndarray], side: list[in
     return out
 
 
-def _link_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, held = None, {}
-
-    def out(links):
-        u, v = zip(*links, strict=True) if links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """The rows of sorted batches, a list for each run of equal first ``n_keys`` values."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
+            if row[:n_keys] != at:
+                if held:
+                    yield held
+                at, held = row[:n_keys], []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _pairs_out(rows: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    u, v = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=names)
+
+
+def _candidate_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple[int, int]] = []
+    for run in _runs(batches, 3):
+        rows = list({r[4]: r for r in run}.values())
+        if len(rows) > 1:
+            for group in candidates(bands, [r[4] for r in rows], [r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows], [r[3] for r in rows]):
+                group.sort()
+                name = int.from_bytes(hashlib.blake2b(np.array(group, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+                out += [(name, x) for x in group]
+        if len(out) > 50_000:
+            yield _pairs_out(out, ["group", "node"])
+            out = []
+    yield _pairs_out(out, ["group", "node"])
 
-    def close():
-        return linked(bands, list(held), [s for s, _ in held.values()], [x for _, x in held.values()]) if len(held) > 1 else []
 
-    links: list[tuple[int, int]] = []
-    for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(5)]
-        for home, one, two, sub, node, data in zip(*cols, batch.column(5), strict=True):
-            if (home, one, two) != at:
-                links += close()
-                at, held = (home, one, two), {}
-            held[node] = (np.frombuffer(data.as_buffer(), np.uint64).copy(), sub)
-        if links:
-            yield out(links)
-            links = []
-    links += close()
-    yield out(links)
+def _link_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple[int, int]] = []
+    for run in _runs(batches, 1):
+        rows = {r[1]: np.frombuffer(r[2], np.uint64) for r in run}
+        out += linked(bands, list(rows), list(rows.values())) if len(rows) > 1 else []
+        if len(out) > 50_000:
+            yield _pairs_out(out, ["u", "v"])
+            out = []
+    yield _pairs_out(out, ["u", "v"])
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +308,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    a = rows.mapInArrow(partial(_sketch_batches, k, bands), f"id {kind}, th long, n long, fp binary, keys array<long>")
+    a = rows.mapInArrow(partial(_sketch_batches, k, bands), f"id {kind}, th long, n long, fp binary, bits binary, keys array<long>")
     a = materialize(a.withColumn("uid", F.monotonically_increasing_id()), "sketches")
     classes = a.where("fp is not null").groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least"), F.min(F.struct("uid", "id", "th", "n")).alias("of"))
     classes = materialize(classes.select("fp", "node", "least", F.col("of.id").alias("id"), F.col("of.th").alias("th"), F.col("of.n").alias("n")), "classes")
@@ -260,11 +327,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     blocks = sized.join(homes, "home").withColumn("sub", sub).select("home", "node", "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("other"))
     blocks = blocks.select("home", F.least("sub", "other").alias("one"), F.greatest("sub", "other").alias("two"), "sub", "node")
 
-    need = routed.select("node").distinct().join(classes, "node").select("node", "id", "th")
+    blocks = blocks.join(a.select(F.col("uid").alias("node"), "n", "bits"), "node").select("home", "one", "two", "sub", "node", "n", "bits")
+    blocks = blocks.repartition("home", "one", "two").sortWithinPartitions("home", "one", "two")
+    groups = materialize(blocks.mapInArrow(partial(_candidate_batches, bands), "group long, node long").distinct(), "candidates")
+
+    need = materialize(groups.select("node").distinct().join(classes, "node").select("node", "id", "th"), "need")
     texts = rows.join(need, ["id", "th"]).select("node", "text")
     sets = texts.mapInArrow(partial(_set_batches, k), "node long, set binary")
-    met = blocks.join(sets, "node").select("home", "one", "two", "sub", "node", "set")
-    met = met.repartition("home", "one", "two").sortWithinPartitions("home", "one", "two")
+    met = groups.join(sets, "node").select("group", "node", "set").repartition("group").sortWithinPartitions("group")
     links = materialize(met.mapInArrow(partial(_link_batches, bands), "u long, v long"), "links")
 
     roots = components(links)
