@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, parity_join
+from tessella.llm import mixing, norm_search, parity_join
 from tessella.runtime import scratch, table
 
 
@@ -24,6 +24,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix.decisions().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_search.top_products(table(spark, folder, "embeddings"), k=20, query_mod=20, scale=64.0)
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     from tessella.llm.quality import classify
 
@@ -51,6 +55,7 @@ def op10_sorted_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_mix_sources": op2_mix_sources,
+    "op3_top_products": op3_top_products,
     "op4_quality": op4_quality,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_token_counts": op9_token_counts,
@@ -59,5 +64,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.sql(),
+    "op3_top_products": norm_search.SQL,
     "op8_jaccard_groups": parity_join.sql(),
 }
