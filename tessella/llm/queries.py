@@ -34,6 +34,12 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3, held_mod=5)
 
 
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    from tessella.llm.multi_index import nearest_rows
+
+    return nearest_rows(table(spark, folder, "embeddings"), k=10, query_mod=100)
+
+
 def op8_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.jaccard_groups(table(spark, folder, "documents"), k=3, num=90, den=100)
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_top_products": op3_top_products,
     "op4_quality": op4_quality,
+    "op6_nearest": op6_nearest,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_token_counts": op9_token_counts,
     "op10_sorted_shards": op10_sorted_shards,
