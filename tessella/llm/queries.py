@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, norm_search, parity_join
+from tessella.llm import mixing, norm_search, parity_join, preference
 from tessella.runtime import scratch, table
 
 
@@ -40,6 +40,12 @@ def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_rows(table(spark, folder, "embeddings"), k=10, query_mod=100)
 
 
+def op7_preference_samples(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    out = preference.preference_samples(rows, preference.halved(rows))
+    return out.withColumns({c: preference.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op8_jaccard_groups(spark: SparkSession, folder: str) -> DataFrame:
     return parity_join.jaccard_groups(table(spark, folder, "documents"), k=3, num=90, den=100)
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_top_products": op3_top_products,
     "op4_quality": op4_quality,
     "op6_nearest": op6_nearest,
+    "op7_preference_samples": op7_preference_samples,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_token_counts": op9_token_counts,
     "op10_sorted_shards": op10_sorted_shards,
@@ -72,5 +79,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_mix_sources": mixing.sql(),
     "op3_top_products": norm_search.SQL,
+    "op7_preference_samples": preference.SQL,
     "op8_jaccard_groups": parity_join.sql(),
 }
