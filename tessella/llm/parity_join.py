@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from tessella.llm.components import components
 from tessella.runtime import materialize
 
-RATIO = 1.25
+RATIO = 1.4
 #: Documents and bytes of sets on each side of a block.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 24
 CACHE_WORDS = 300_000
@@ -313,7 +313,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     classes = a.where("fp is not null").groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least"), F.min(F.struct("uid", "id", "th", "n")).alias("of"))
     classes = materialize(classes.select("fp", "node", "least", F.col("of.id").alias("id"), F.col("of.th").alias("th"), F.col("of.n").alias("n")), "classes")
 
-    stands = a.where(F.size("keys") > 0).select(F.col("uid").alias("node"), "keys").join(classes.select("node"), "node", "left_semi")
+    stands = a.where(F.size("keys") > 0).select(F.col("uid").alias("node"), "keys").join(classes.select("node").hint("merge"), "node", "left_semi")
     pairs = stands.select(F.explode("keys").alias("key"), "node")
     order = Window.partitionBy("key").orderBy("node")
     routed = pairs.withColumn("home", F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("node != home")
