@@ -34,6 +34,12 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3, held_mod=5)
 
 
+def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from tessella.llm.lm import score_texts
+
+    return score_texts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), held_mod=7, held=2)
+
+
 def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
     from tessella.llm.multi_index import nearest_rows
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_top_products": op3_top_products,
     "op4_quality": op4_quality,
+    "op5_lm_scores": op5_lm_scores,
     "op6_nearest": op6_nearest,
     "op7_preference_samples": op7_preference_samples,
     "op8_jaccard_groups": op8_jaccard_groups,
