@@ -1 +1,6 @@
-"""Part of tessella; see the modules of this folder."""
+"""The registered queries of the engine's own operators, and their SQL."""
+
+from tessella.plans import corpus
+
+CORE_QUERIES = dict(corpus.QUERIES)
+CORE_SQL = dict(corpus.SQL)

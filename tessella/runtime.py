@@ -49,13 +49,20 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+#: Rows of a narrow table that are worth a file and a task of their own.
+FILE_ROWS = 250_000
+
+
+def materialize(df: DataFrame, label: str, codec: str = "zstd", about_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     The written table is the lineage: an executor that is lost later costs a
-    re-read of its splits, not the work that made them.
+    re-read of its splits, not the work that made them. ``about_rows`` is a guess of
+    the rows of a narrow table: it gets no more files than that is worth.
     """
     spark = df.sparkSession
+    if about_rows is not None:
+        df = df.coalesce(max(1, -(-about_rows // FILE_ROWS)))
     path = scratch(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
