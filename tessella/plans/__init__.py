@@ -1,6 +1,6 @@
 """The registered queries of the engine's own operators, and their SQL."""
 
-from tessella.plans import corpus
+from tessella.plans import corpus, evidence
 
-CORE_QUERIES = dict(corpus.QUERIES)
-CORE_SQL = dict(corpus.SQL)
+CORE_QUERIES = {**corpus.QUERIES, **evidence.QUERIES}
+CORE_SQL = {**corpus.SQL, **evidence.SQL}
