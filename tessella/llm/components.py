@@ -26,22 +26,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("u != v").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, about_rows: int, most: int = 60) -> DataFrame:
     """``u`` and ``root`` (the least node it is linked to) for every node of ``edges`` (columns ``u``, ``v``) but the roots.
 
+    ``about_rows`` guesses the number of edges, for the number of files.
+
     Every step is written to the shared folder, so lineage stays short. It ends
     when a step changes nothing; stars halve paths, so steps grow with the
     logarithm of the longest one.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    edges = materialize(edges, "edges", about_rows=about_rows)
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
     before = state(edges)
     for _ in range(most):
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        edges = materialize(_star(_star(edges, True), False), "edges", about_rows=before[0])
         after = state(edges)
         if after == before:
             return edges.select("u", F.col("v").alias("root"))

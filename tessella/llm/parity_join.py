@@ -10,14 +10,17 @@ the Hamming distance of two sketches is a lower bound of the sets' difference, a
 at most t of the p chunks of a linked pair differ.
 
 *Bands.* Band g takes the sizes from R^g on and all sizes that can be linked to one
-below R^(g+1), so every linked pair meets in the band of its smaller set; p is t + 1
-for the band's largest sizes plus a margin for empty chunks.
-
-*Pigeonhole join.* Sketches that differ in at most t chunks agree in one with more
-than LIGHT bits, provided one of the two has more than t such; so those chunks are
-the join keys, and a document with fewer also emits its light chunks (which, with
-so few elements, unrelated documents can share). All documents of a key go to its
-least one (the key's *home*); a pair that shares a key shares a home.
+below R^(g+1), so every linked pair meets in the band of its smaller set; t is that of
+the band's largest pair.
+
+*Pigeonhole join.* There are p = t + 1 + e chunks, of which at least e + 1 of a linked
+pair agree. All chunks stand in one global order: zero words last, then by how often
+they occur in a bounded sample of documents, then by their bits. A document emits
+its first t + 1 chunks in that order as join keys. The first of the agreeing chunks
+has e others behind it, so both documents emit it: no link is lost, whatever the
+sample holds, while words of few elements and of passages that many documents share
+are seldom keys. All documents of a key go to its least one (the key's *home*); a
+pair that shares a key shares a home.
 
 *Prune.* Each home's documents are compared in square blocks of bounded size by
 set size and the Hamming distance of one plain sketch of about as many bits as the
@@ -56,6 +59,10 @@ from tessella.llm.components import components
 from tessella.runtime import materialize
 
 RATIO = 1.4
+#: Chunks beyond the t + 1 that are emitted, a share of t.
+SPARE = 0.4
+#: Documents of the sample that orders chunks, how often a chunk must occur there to count, and most chunks held.
+SAMPLE, OFTEN, HELD = 8000, 3, 500_000
 #: Documents and bytes of sets on each side of a block.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 24
 CACHE_WORDS = 300_000
@@ -120,23 +127,15 @@ class Bands:
             g += 1
         out = []
         while g >= 0 and n <= self.high(g):
-            if self.differences(self.high(g), self.high(g)):
+            if self.plan(g)[0]:
                 out.append(g)
             g -= 1
         return out
 
-    def plan(self, g: int) -> tuple[int, int, int]:
-        """t, p and the most bits of a light chunk for a band: the largest that leaves enough others to its smallest sets."""
-        t = int(self.differences(self.high(g), self.high(g)))
-        for light in (3, 2, 1, 0):
-            p = t + 2
-            while p <= 1.35 * t + 6:
-                mean, few = self.low(g) / p, 0.0
-                few = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(light + 1))
-                if p * (1 - few) >= t + 1 + 2 * math.sqrt(p * few):
-                    return t, p, light
-                p += max(1, p // 40)
-        return t, t + 2 + math.ceil(1.5 * t * math.exp(-self.low(g) / (t + 1))), 0
+    def plan(self, g: int) -> tuple[int, int]:
+        """t and p of a band."""
+        t = int(self.differences(self.low(g + 1) - 1, self.high(g)))
+        return t, t + 1 + math.ceil(SPARE * t)
 
 
 def sketch(s: np.ndarray, p: int) -> np.ndarray:
@@ -146,18 +145,25 @@ def sketch(s: np.ndarray, p: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set in all of its bands."""
+def keys(s: np.ndarray, bands: Bands, often: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The join keys of a set in all of its bands; ``often``: sorted keys and their counts, or None for every chunk that isn't zero."""
     out = []
     for g in bands.of(len(s)):
-        t, p, light = bands.plan(g)
+        t, p = bands.plan(g)
         words = sketch(s, p)
-        at = np.arange(p, dtype=np.uint64)
-        full = np.bitwise_count(words) > light
-        if full.sum() > t:
-            words, at = words[full], at[full]
+        at = np.arange(1, p + 1, dtype=np.uint64)
         band = np.full(1, g + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(mix(mix(words + _ODD * (at + np.uint64(1))) + band))
+        names = mix(mix(words + _ODD * at) + band)
+        bits = np.bitwise_count(words).astype(np.int64)
+        if often is None:
+            out.append(names[bits > 0])
+            continue
+        rank = -bits
+        if len(often[0]):
+            near_ = np.minimum(np.searchsorted(often[0], names), len(often[0]) - 1)
+            rank = rank + np.where(often[0][near_] == names, often[1][near_] << 10, 0)
+        rank[bits == 0] = 1 << 60
+        out.append(names[np.lexsort((names, rank))[: t + 1]])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -174,7 +180,8 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def _sketch_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_batches(k: int, bands: Bands, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    often = shared.value
     for batch in batches:
         sizes, digests, bits, lists, ends = [], [], [], [], [0]
         for null, text in zip(batch.column(0).is_null().to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -187,7 +194,7 @@ def _sketch_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) ->
             else:
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bits.append(plain(s).tobytes())
-                lists.append(keys(s, bands))
+                lists.append(keys(s, bands, often))
             ends.append(ends[-1] + len(lists[-1]))
         flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -196,6 +203,25 @@ def _sketch_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) ->
         )
 
 
+def _often_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [keys(shingles(text, k), bands, None) for text in batch.column(0).to_pylist()]
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        names, n = np.unique(flat, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+
+def frequent_keys(rows: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur OFTEN in a sample of SAMPLE ids at most, and how often: at most HELD of them come to the driver."""
+    some = rows.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    texts = rows.join(F.broadcast(some), "id").select("id", "th", "text").dropDuplicates(["th"]).select("text")
+    counted = texts.mapInArrow(partial(_often_batches, k, bands), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    found = counted.orderBy(F.desc("n"), "key").limit(HELD).toArrow()
+    names = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    return names[order], found.column("n").to_numpy()[order]
+
+
 def _set_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, sets, size = [], [], 0
@@ -308,16 +334,18 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    a = rows.mapInArrow(partial(_sketch_batches, k, bands), f"id {kind}, th long, n long, fp binary, bits binary, keys array<long>")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_keys(rows, k, bands))
+    a = rows.mapInArrow(partial(_sketch_batches, k, bands, shared), f"id {kind}, th long, n long, fp binary, bits binary, keys array<long>")
     a = materialize(a.withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    about = a.count()
     classes = a.where("fp is not null").groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least"), F.min(F.struct("uid", "id", "th", "n")).alias("of"))
-    classes = materialize(classes.select("fp", "node", "least", F.col("of.id").alias("id"), F.col("of.th").alias("th"), F.col("of.n").alias("n")), "classes")
+    classes = materialize(classes.select("fp", "node", "least", F.col("of.id").alias("id"), F.col("of.th").alias("th"), F.col("of.n").alias("n")), "classes", about_rows=about)
 
     stands = a.where(F.size("keys") > 0).select(F.col("uid").alias("node"), "keys").join(classes.select("node").hint("merge"), "node", "left_semi")
     pairs = stands.select(F.explode("keys").alias("key"), "node")
     order = Window.partitionBy("key").orderBy("node")
     routed = pairs.withColumn("home", F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("node != home")
-    routed = materialize(routed.select("home", "node").distinct(), "homes")
+    routed = materialize(routed.select("home", "node").distinct(), "homes", about_rows=2 * about)
     routed = routed.unionByName(routed.select("home", F.col("home").alias("node")).distinct())
 
     sized = routed.join(classes.select("node", "n"), "node")
@@ -329,15 +357,15 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
 
     blocks = blocks.join(a.select(F.col("uid").alias("node"), "n", "bits"), "node").select("home", "one", "two", "sub", "node", "n", "bits")
     blocks = blocks.repartition("home", "one", "two").sortWithinPartitions("home", "one", "two")
-    groups = materialize(blocks.mapInArrow(partial(_candidate_batches, bands), "group long, node long").distinct(), "candidates")
+    groups = materialize(blocks.mapInArrow(partial(_candidate_batches, bands), "group long, node long").distinct(), "candidates", about_rows=about)
 
-    need = materialize(groups.select("node").distinct().join(classes, "node").select("node", "id", "th"), "need")
+    need = materialize(groups.select("node").distinct().join(classes, "node").select("node", "id", "th"), "need", about_rows=about)
     texts = rows.join(need, ["id", "th"]).select("node", "text")
     sets = texts.mapInArrow(partial(_set_batches, k), "node long, set binary")
     met = groups.join(sets, "node").select("group", "node", "set").repartition("group").sortWithinPartitions("group")
-    links = materialize(met.mapInArrow(partial(_link_batches, bands), "u long, v long"), "links")
+    links = met.mapInArrow(partial(_link_batches, bands), "u long, v long")
 
-    roots = components(links)
+    roots = components(links, about)
     named = classes.join(roots, classes["node"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("fp", "component")
