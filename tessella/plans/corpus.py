@@ -202,18 +202,24 @@ def _positions(spark, d) -> DataFrame:
     return _lengths(spark, d).where(F.col("source").isin(*RATIOS)).withColumn("position", F.row_number().over(w) - 1)
 
 
+def _affordable(spark, d) -> int:
+    """Half of the tokens that the sources can supply in the mix's ratios: one row a source comes to the driver."""
+    sums = {r.source: r.n for r in _positions(spark, d).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    return int(min(sums.get(s, 0) / ratio for s, ratio in RATIOS.items()) / 2)
+
+
 def mix_weighted(spark, d):
-    mix = Mix(RATIOS, seed=17, quotas=quotas.largest_remainder_of(RATIOS, 60_000))
+    mix = Mix(RATIOS, seed=17, quotas=quotas.largest_remainder_of(RATIOS, _affordable(spark, d)))
     return plan(_positions(spark, d), mix)
 
 
 def mix_debt(spark, d):
-    mix = Mix(RATIOS, seed=17, targets=quotas.largest_remainder_of(RATIOS, 40_000), width=129, by_debt=True)
+    mix = Mix(RATIOS, seed=17, targets=quotas.largest_remainder_of(RATIOS, _affordable(spark, d)), width=129, by_debt=True)
     return plan(_positions(spark, d), mix)
 
 
 def mix_buffered(spark, d):
-    mix = Mix(RATIOS, seed=17, quotas=quotas.largest_remainder_of(RATIOS, 60_000), buffer=8)
+    mix = Mix(RATIOS, seed=17, quotas=quotas.largest_remainder_of(RATIOS, _affordable(spark, d)), buffer=8)
     return plan(_positions(spark, d), mix)
 
 

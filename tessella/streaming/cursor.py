@@ -21,7 +21,7 @@ class _Slice(InputPartition):
 
 
 class CorpusSource(DataSource):
-    """``corpus``: options ``files`` (a JSON list of Parquet paths in artifact order), ``columns`` (JSON list), ``fingerprint`` and ``rows`` a batch."""
+    """``corpus``: options ``files`` (a JSON list of Parquet paths in artifact order), ``columns`` (JSON list), ``fingerprint`` and ``rows`` a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -41,7 +41,6 @@ class _Reader(DataSourceStreamReader):
         self.files, self.columns = json.loads(options["files"]), json.loads(options["columns"])
         self.fingerprint, self.rows = options.get("fingerprint", ""), int(options.get("rows", 1000))
         self.sizes = [pq.ParquetFile(f).metadata.num_rows for f in self.files]
-        self.at = {"artifact": 0, "row": 0}
 
     def _offset(self, artifact: int, row: int) -> dict:
         while artifact < len(self.sizes) and row >= self.sizes[artifact]:
@@ -57,22 +56,16 @@ class _Reader(DataSourceStreamReader):
         return self._offset(0, 0)
 
     def latestOffset(self) -> dict:
-        at = self.at if "fingerprint" in self.at else self.initialOffset()
-        if at["artifact"] >= len(self.sizes):
-            return at
-        # A batch ends within its artifact, so a cursor is always one place.
-        self.at = self._offset(at["artifact"], min(at["row"] + self.rows, self.sizes[at["artifact"]]))
-        return self.at
+        return self._offset(len(self.sizes), 0)
 
     def partitions(self, start: dict, end: dict) -> list[_Slice]:
+        """Slices of at most ``rows`` rows between two cursors."""
         self._check(start), self._check(end)
-        self.at = end
         out = []
         for a in range(start["artifact"], min(end["artifact"] + 1, len(self.sizes))):
             first = start["row"] if a == start["artifact"] else 0
             last = end["row"] if a == end["artifact"] else self.sizes[a]
-            if last > first:
-                out.append(_Slice(a, first, last))
+            out += [_Slice(a, at, min(at + self.rows, last)) for at in range(first, last, self.rows)]
         return out
 
     def read(self, part: _Slice) -> Iterator[tuple]:
