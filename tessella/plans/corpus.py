@@ -15,7 +15,6 @@ from tessella.runtime import table
 
 SALT, FRACTION, WIDTH, TOTAL = "corpus-split-v1", "0.2", 1025, 200_000
 MOST_BYTES = 2000
-RATIOS = {"src0": 0.5, "src1": 0.2, "src2": 0.2, "src3": 0.1}
 _LATIN, _JA = T.latin(), T.JAPANESE
 
 
@@ -110,8 +109,10 @@ def repeated_contents(spark, d):
 
 
 def index_differences(spark, d):
+    """Documents against an index that holds the labelled ones, with sizes in bytes where the table has characters."""
     a = documents(spark, d).select("doc_id", "source", "n_chars")
-    b = a.where("doc_id % 7 != 0").withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0))
+    labelled = table(spark, d, "labels").select("doc_id").distinct()
+    b = documents(spark, d).join(labelled, "doc_id", "left_semi").select("doc_id", "source", F.octet_length("text").cast("long").alias("n_chars"))
     return accounting.differences(a, b, "doc_id", ["source", "n_chars"])
 
 
@@ -139,7 +140,7 @@ def quota_largest_remainder(spark, d):
 
 def quota_cut(spark, d):
     q = quotas.largest_remainder(_ratios(spark, d), TOTAL).select(F.col("name").alias("source"), "quota")
-    df = _lengths(spark, d).join(F.broadcast(q), "source")  # one row a source
+    df = _lengths(spark, d).join(q, "source")
     return quotas.cut_to_quota(df, "source", "doc_id", "n_tokens", "quota").select("source", "doc_id", "kept")
 
 
@@ -181,9 +182,10 @@ def pack_window_ids(spark, d):
 
 
 def inputs_labels_shift(spark, d):
-    """Overlapping windows of short conversations: inputs and labels one byte apart."""
-    rows = table(spark, d, "conversations").where(F.octet_length("text") <= 200)
-    pairs = F.explode(fixed_windows.stride_one(Bytes().encode(F.col("text")), 16)).alias("p")
+    """Overlapping windows of conversations: inputs and labels one byte apart."""
+    rows = table(spark, d, "conversations")
+    rows = rows.select("conv_id", "turn", Bytes().encode(F.col("text")).alias("ids"))
+    pairs = F.explode(fixed_windows.stride_one(F.col("ids"), 16)).alias("p")
     return rows.select("conv_id", "turn", pairs).groupBy("conv_id", "turn").agg(F.count("*").alias("windows"), F.sum(F.col("p.inputs")[0]).alias("first_inputs"), F.sum(F.col("p.labels")[15]).alias("last_labels"))
 
 
@@ -199,28 +201,30 @@ def rates(spark, d):
 
 def _positions(spark, d) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id")
-    return _lengths(spark, d).where(F.col("source").isin(*RATIOS)).withColumn("position", F.row_number().over(w) - 1)
+    return _lengths(spark, d).withColumn("position", F.row_number().over(w) - 1)
 
 
-def _affordable(spark, d) -> int:
-    """Half of the tokens that the sources can supply in the mix's ratios: one row a source comes to the driver."""
-    sums = {r.source: r.n for r in _positions(spark, d).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    return int(min(sums.get(s, 0) / ratio for s, ratio in RATIOS.items()) / 2)
+def _mixture(spark, d) -> tuple[dict[str, float], int]:
+    """Ratios of all sources, 3 to 1 to 2 in turn, and half of the tokens they can supply in these: one row a source comes to the driver."""
+    rows = _lengths(spark, d).groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy("source").collect()
+    weights = {r.source: (3, 1, 2)[i % 3] for i, r in enumerate(rows)}
+    ratios = {s: w / sum(weights.values()) for s, w in weights.items()}
+    return ratios, int(min(r.n / ratios[r.source] for r in rows) / 2)
 
 
 def mix_weighted(spark, d):
-    mix = Mix(RATIOS, seed=17, quotas=quotas.largest_remainder_of(RATIOS, _affordable(spark, d)))
-    return plan(_positions(spark, d), mix)
+    ratios, total = _mixture(spark, d)
+    return plan(_positions(spark, d), Mix(ratios, seed=17, quotas=quotas.largest_remainder_of(ratios, total)))
 
 
 def mix_debt(spark, d):
-    mix = Mix(RATIOS, seed=17, targets=quotas.largest_remainder_of(RATIOS, _affordable(spark, d)), width=129, by_debt=True)
-    return plan(_positions(spark, d), mix)
+    ratios, total = _mixture(spark, d)
+    return plan(_positions(spark, d), Mix(ratios, seed=17, targets=quotas.largest_remainder_of(ratios, total), width=129, by_debt=True))
 
 
 def mix_buffered(spark, d):
-    mix = Mix(RATIOS, seed=17, quotas=quotas.largest_remainder_of(RATIOS, _affordable(spark, d)), buffer=8)
-    return plan(_positions(spark, d), mix)
+    ratios, total = _mixture(spark, d)
+    return plan(_positions(spark, d), Mix(ratios, seed=17, quotas=quotas.largest_remainder_of(ratios, total), buffer=8))
 
 
 def hash_shuffle(spark, d):
@@ -276,7 +280,7 @@ SQL = {
     "null_accounting": " UNION ALL ".join(f"SELECT 'null:{c}' AS reason, count(*) FILTER ({c} IS NULL) AS events FROM documents LEFT JOIN labels USING (doc_id)" for c in ("text", "source", "quality", "toxic")),
     "disjoint_ids": f"SELECT DISTINCT id_v2 AS document_id FROM ({_IDS}) WHERE split = 'train' AND id_v2 IN (SELECT id_v2 FROM ({_IDS}) WHERE split = 'validation')",
     "repeated_contents": f"SELECT sha, count(*) AS n FROM (SELECT {_SHA} AS sha FROM documents) GROUP BY sha HAVING count(*) > 1",
-    "index_differences": "SELECT doc_id, true AS in_source, doc_id % 7 != 0 AS in_index FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0",
+    "index_differences": "SELECT doc_id, true AS in_source, doc_id IN (SELECT doc_id FROM labels) AS in_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR n_chars != strlen(text)",
     "benchmark_exact_screen": f"""WITH b AS (SELECT DISTINCT {_SHA} AS sha FROM benchmark),
       x AS (SELECT doc_id, {_SHA} AS sha FROM documents UNION ALL SELECT doc_id, {_SHA} AS sha FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))
       SELECT doc_id, count(*) AS hits FROM x WHERE sha IN (SELECT sha FROM b) GROUP BY doc_id""",
@@ -293,5 +297,5 @@ SQL = {
     "rates": "SELECT source, round(sum(n_chars) / count(*), 6) AS chars_per_document, round(sum(n_chars) / nullif(count(*) FILTER (lang = 'de'), 0), 6) AS chars_per_german FROM documents GROUP BY source",
     "inputs_labels_shift": r"""SELECT conv_id, turn, count(*) AS windows, sum(a)::BIGINT AS first_inputs, sum(b)::BIGINT AS last_labels FROM (
       SELECT conv_id, turn, ('0x' || substr(h, i * 2 + 1, 2))::INT + 8 AS a, ('0x' || substr(h, (i + 16) * 2 + 1, 2))::INT + 8 AS b
-      FROM (SELECT conv_id, turn, hex(encode(text)) AS h, unnest(range(0, strlen(text) - 16)) AS i FROM conversations WHERE strlen(text) <= 200)) GROUP BY conv_id, turn""",
+      FROM (SELECT conv_id, turn, hex(encode(text)) AS h, unnest(range(0, strlen(text) - 16)) AS i FROM conversations)) GROUP BY conv_id, turn""",
 }

@@ -40,7 +40,7 @@ def counter_delta(spark, d):
 
 
 def counter_falls(spark, d):
-    return E.falls(events(spark, d).where("user_id < 20"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "value", "previous")
+    return E.falls(events(spark, d), ["user_id"], ["ts", "event_id"], "value").select("event_id", "value", "previous")
 
 
 def cadence_events(spark, d):
@@ -63,7 +63,7 @@ def window_edges(spark, d):
 
 
 def running_peak(spark, d):
-    return E.running_peak(events(spark, d).where("user_id < 20"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "peak")
+    return E.running_peak(events(spark, d), ["user_id"], ["ts", "event_id"], "value").select("event_id", "peak")
 
 
 def compression_by_stratum(spark, d):
@@ -158,8 +158,8 @@ def bounded_events(spark, d):
 def multiset_difference(spark, d):
     from tessella.operators.accounting import multiset_difference as difference
 
-    df = events(spark, d)
-    return difference(df.where("event_id % 2 = 0").select("user_id", "event_type"), df.where("event_id % 2 = 1").select("user_id", "event_type")).groupBy("side", "event_type").agg(F.count("*").alias("n"))
+    df, half = events(spark, d), F.col("ts") < F.expr("timestamp_ntz'2024-01-16 00:00:00'")
+    return difference(df.where(half).select("user_id", "event_type"), df.where(~half).select("user_id", "event_type")).groupBy("side", "event_type").agg(F.count("*").alias("n"))
 
 
 def event_time_windows(spark, d):
@@ -201,14 +201,14 @@ SQL = {
     "longest_run": """SELECT user_id, max(n)::BIGINT AS longest FROM (SELECT user_id, b, count(*) FILTER (h) AS n FROM (SELECT user_id, h, sum(CASE WHEN h THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b
       FROM (SELECT *, coalesce(value > 10, false) AS h FROM events)) GROUP BY user_id, b) GROUP BY user_id""",
     "counter_delta": "SELECT event_type, round(min(value), 6) AS least, round(max(value), 6) AS greatest, round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) AS delta FROM events GROUP BY event_type",
-    "counter_falls": "SELECT event_id, value, previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events WHERE user_id < 20) WHERE value < previous",
+    "counter_falls": "SELECT event_id, value, previous FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE value < previous",
     "cadence_events": "SELECT user_id, event_id, total::BIGINT AS total FROM (SELECT user_id, event_id, a, sum(a) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM (SELECT *, floor(value * 10)::BIGINT AS a FROM events)) WHERE floor(total / 1000) > floor((total - a) / 1000)",
     "best_so_far": "SELECT user_id, event_id, value FROM (SELECT *, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value < b",
     "repeat_summary": """WITH r AS (SELECT ts::DATE AS run, event_type AS metric, round(sum(value), 4) AS v FROM events GROUP BY 1, 2)
       SELECT metric, round(median(v), 4) AS median, round(min(v), 4) AS least, round(max(v), 4) AS greatest, round((max(v) - min(v)) / median(v), 4) AS spread FROM r GROUP BY metric HAVING count(DISTINCT run) = (SELECT count(DISTINCT run) FROM r)""",
     "window_edges": """SELECT user_id, round(median(value) FILTER (u <= s), 6) AS first_median, round(median(value) FILTER (u > n - s), 6) AS last_median, round(greatest(0, min(value) FILTER (u > n - s) - min(value) FILTER (u <= s)), 6) AS growth FROM (
       SELECT *, least(5, greatest(1, n // 2)) AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS u, count(*) OVER (PARTITION BY user_id) AS n FROM events)) GROUP BY user_id""",
-    "running_peak": "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS peak FROM events WHERE user_id < 20",
+    "running_peak": "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS peak FROM events",
     "compression_by_stratum": """SELECT coalesce(lang, 'all') AS lang, documents, tokens, codepoints, bytes, round(tokens / bytes, 6) AS tokens_per_byte, round(tokens / codepoints, 6) AS tokens_per_codepoint FROM (
       SELECT lang, count(*) AS documents, sum(strlen(text) + 1)::BIGINT AS tokens, sum(length(text))::BIGINT AS codepoints, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY GROUPING SETS ((lang), ()))""",
     "nll_by_corpus": """SELECT coalesce(source, 'all') AS source, targets, round(l / targets, 6) AS nll, round(exp(l / targets), 4) AS perplexity, false AS overflow FROM (
@@ -231,7 +231,7 @@ SQL = {
     "preset_matrix": "SELECT arm, 'm' || arm // 3 AS model, ([1024, 2048, 4096][arm % 3 + 1])::INT AS context, r AS repetition, (((arm - (r - 1) * 3) % 9 + 9) % 9)::INT AS place FROM (SELECT unnest(range(0, 9))::INT AS arm), (SELECT unnest([1, 2, 3])::INT AS r)",
     "size_literals": "SELECT p_partkey, p_size * [1.0, 1000.0, 1024.0, 1048576.0, 1000000000.0, NULL][(p_partkey % 6 + 1)::INT]::DOUBLE AS bytes FROM part",
     "bounded_events": "WITH b AS (SELECT quantile_disc(event_id, 0.25) AS low, quantile_disc(event_id, 0.75) AS high FROM events) SELECT event_type, count(*) AS n FROM events, b WHERE event_id BETWEEN low AND high GROUP BY event_type",
-    "multiset_difference": """WITH a AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 1)
+    "multiset_difference": """WITH a AS (SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-16'), b AS (SELECT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-16')
       SELECT side, event_type, count(*) AS n FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY side, event_type""",
     "event_time_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_pack": "SELECT source AS stream, (sum(strlen(text) + 1)::BIGINT - 1) // 1024 AS windows, (sum(strlen(text) + 1)::BIGINT - 1) // 1024 * 1024 AS targets FROM documents GROUP BY source HAVING (sum(strlen(text) + 1)::BIGINT - 1) // 1024 > 0",

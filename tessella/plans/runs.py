@@ -11,7 +11,7 @@ from tessella.runtime import table
 
 def artifact_inventory(spark, d):
     files = table(spark, d, "part").select(F.concat_ws("", F.lit("data/"), F.col("p_partkey"), F.lit(".parquet")).alias("path"), F.col("p_size").cast("long").alias("size_bytes"), F.sha2("p_name", 256).alias("sha256"), "p_partkey")
-    return R.inventory(files, "data/1").select("path", "size_bytes", "artifact_index")
+    return R.inventory(files, "data/").select("path", "size_bytes", "artifact_index")
 
 
 def artifact_totals(spark, d):
@@ -56,7 +56,7 @@ def step_loss(spark, d):
 
 
 def average_throughput(spark, d):
-    df = events(spark, d).where("user_id < 20").withColumns({"tokens": F.col("event_id") % 7, "elapsed": F.col("seconds") - 1704067200.0})
+    df = events(spark, d).withColumns({"tokens": F.col("event_id") % 7, "elapsed": F.col("seconds") - 1704067200.0})
     return R.average_so_far(df, ["user_id"], ["ts", "event_id"], "tokens", "elapsed").select("event_id", F.round("average", 9).alias("average"))
 
 
@@ -99,7 +99,7 @@ QUERIES = {
 }
 
 SQL = {
-    "artifact_inventory": "SELECT path, size_bytes, (row_number() OVER (ORDER BY size_bytes, path) - 1)::INT AS artifact_index FROM (SELECT 'data/' || p_partkey || '.parquet' AS path, p_size::BIGINT AS size_bytes FROM part) WHERE starts_with(path, 'data/1')",
+    "artifact_inventory": "SELECT path, size_bytes, (row_number() OVER (ORDER BY size_bytes, path) - 1)::INT AS artifact_index FROM (SELECT 'data/' || p_partkey || '.parquet' AS path, p_size::BIGINT AS size_bytes FROM part)",
     "artifact_totals": "SELECT count(*) AS files, sum(p_size)::BIGINT AS bytes, max(p_size)::BIGINT AS largest FROM part",
     "host_summary": "SELECT user_id, count(*) AS samples, min(value) AS min_value, max(value) AS max_value, arg_max(event_id, (ts, event_id)) - arg_min(event_id, (ts, event_id)) AS delta_event_id FROM events GROUP BY user_id",
     "device_summary": "SELECT user_id, round(min(p), 6) AS min_power, round(median(p), 6) AS median_power, round(max(p), 6) AS max_power, round(count(p) / count(*), 6) AS coverage_power FROM (SELECT user_id, CASE WHEN event_type != 'click' THEN value END AS p FROM events) GROUP BY user_id",
@@ -108,7 +108,7 @@ SQL = {
     "candidate_summary": "SELECT user_id, count(*) AS runs, round(min(value), 6) AS conservative, round(median(value), 6) AS median, round(max(value), 6) AS greatest, round((max(value) - min(value)) / median(value), 6) AS spread, bool_and(value < 50) AS all_passed, max(event_id) AS worst_event_id, (max(value) - min(value)) / median(value) <= 5.0 AS repeatable FROM events GROUP BY user_id",
     "budget_stop": "SELECT user_id, event_id, used::BIGINT AS used FROM (SELECT user_id, event_id, least(a, 200 - (sum(a) OVER (PARTITION BY user_id ORDER BY ts, event_id) - a)) AS used FROM (SELECT *, floor(value)::BIGINT AS a FROM events)) WHERE used > 0",
     "step_loss": "SELECT user_id, round(sum(value) / nullif(sum(event_id % 7), 0), 6) AS loss, sum(event_id % 7)::BIGINT AS tokens FROM events GROUP BY user_id",
-    "average_throughput": "SELECT event_id, round(CASE WHEN e > 0 THEN t / e ELSE 0 END, 9) AS average FROM (SELECT event_id, epoch_us(ts) / 1e6 - 1704067200.0::DOUBLE AS e, sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events WHERE user_id < 20)",
+    "average_throughput": "SELECT event_id, round(CASE WHEN e > 0 THEN t / e ELSE 0 END, 9) AS average FROM (SELECT event_id, epoch_us(ts) / 1e6 - 1704067200.0::DOUBLE AS e, sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)",
     "storage_by_device": "SELECT s_nationkey AS device, sum(s_suppkey)::BIGINT AS needed, min(s_nationkey * 10)::BIGINT AS free, count(*) AS roots, min(s_nationkey * 10) - sum(s_suppkey) >= 5 AS enough FROM supplier GROUP BY s_nationkey",
     "cache_telemetry": "SELECT user_id, count(*) FILTER (event_type = 'click') AS hits, max(value) AS size_bytes, arg_max(event_id, (ts, event_id)) AS free_bytes FROM events GROUP BY user_id",
     "newest_valid": "SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id",
