@@ -13,14 +13,13 @@ at most t of the p chunks of a linked pair differ.
 below R^(g+1), so every linked pair meets in the band of its smaller set; t is that of
 the band's largest pair.
 
-*Pigeonhole join.* There are p = t + 1 + e chunks, of which at least e + 1 of a linked
-pair agree. All chunks stand in one global order: zero words last, then by how often
-they occur in a bounded sample of documents, then by their bits. A document emits
-its first t + 1 chunks in that order as join keys. The first of the agreeing chunks
-has e others behind it, so both documents emit it: no link is lost, whatever the
-sample holds, while words of few elements and of passages that many documents share
-are seldom keys. All documents of a key go to its least one (the key's *home*); a
-pair that shares a key shares a home.
+*Pigeonhole join.* The p chunks stand in m groups of three. Were at most one chunk of
+each group equal in a linked pair, 2 m chunks would differ; so with m > t / 2 some
+group has two equal chunks, and the pairs of chunks within groups are the join keys.
+At least m - t / 2 groups are of that kind, so a document with fewer groups of two or
+three zero chunks needn't list pairs of zeros, and others do. Two words, each of a few
+elements, are seldom shared by documents that have only a passage in common. A pair
+that shares a key shares the key's *home* (the least class that has it).
 
 *Prune.* Each home's documents are compared in square blocks of bounded size by
 set size and the Hamming distance of one plain sketch of about as many bits as the
@@ -32,9 +31,9 @@ connected within its group isn't looked at again, and a group returns a tree of
 links (not all pairs), which is all that components need. No home is capped: a
 larger one just has more blocks.
 
-Equal sets are one class from the start (joined by a 128-bit digest), so thousands
-of copies cost one document. Sets of candidates are made anew from the texts of
-the one row that stands for its class, rather than kept for all documents.
+Equal sets are one class from the start (known by a 64-bit part of their digest), so
+thousands of copies cost one document. Sets of candidates are made anew from the texts
+of the one row that stands for its class, rather than kept for all documents.
 
 Null or blank texts have an empty set and are linked with nothing. A text of fewer
 than ``k`` words has its whole sequence as one shingle. Rows with a null id are
@@ -59,13 +58,13 @@ from tessella.llm.components import components
 from tessella.runtime import materialize
 
 RATIO = 1.4
-#: Chunks beyond the t + 1 that are emitted, a share of t.
-SPARE = 0.4
-#: Documents of the sample that orders chunks, how often a chunk must occur there to count, and most chunks held.
-SAMPLE, OFTEN, HELD = 8000, 3, 500_000
+#: Groups beyond t / 2, a share of it.
+SPARE = 0.12
 #: Documents and bytes of sets on each side of a block.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 24
 CACHE_WORDS = 300_000
+#: Classes that a task remembers.
+SEEN = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
@@ -133,9 +132,9 @@ class Bands:
         return out
 
     def plan(self, g: int) -> tuple[int, int]:
-        """t and p of a band."""
+        """t and m of a band."""
         t = int(self.differences(self.low(g + 1) - 1, self.high(g)))
-        return t, t + 1 + math.ceil(SPARE * t)
+        return t, t // 2 + 1 + math.ceil(SPARE * t / 2)
 
 
 def sketch(s: np.ndarray, p: int) -> np.ndarray:
@@ -145,26 +144,20 @@ def sketch(s: np.ndarray, p: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def keys(s: np.ndarray, bands: Bands, often: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """The join keys of a set in all of its bands; ``often``: sorted keys and their counts, or None for every chunk that isn't zero."""
-    out = []
+def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """The join keys of a set in all of its bands: pairs of chunks of a group, named by hashes."""
+    out = [np.zeros(0, np.uint64)]
     for g in bands.of(len(s)):
-        t, p = bands.plan(g)
-        words = sketch(s, p)
-        at = np.arange(1, p + 1, dtype=np.uint64)
-        band = np.full(1, g + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        names = mix(mix(words + _ODD * at) + band)
-        bits = np.bitwise_count(words).astype(np.int64)
-        if often is None:
-            out.append(names[bits > 0])
-            continue
-        rank = -bits
-        if len(often[0]):
-            near_ = np.minimum(np.searchsorted(often[0], names), len(often[0]) - 1)
-            rank = rank + np.where(often[0][near_] == names, often[1][near_] << 10, 0)
-        rank[bits == 0] = 1 << 60
-        out.append(names[np.lexsort((names, rank))[: t + 1]])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        t, m = bands.plan(g)
+        words = sketch(s, 3 * m).reshape(m, 3)
+        zero = words == 0
+        at = (np.arange(1, m + 1, dtype=np.uint64) * np.uint64(4))[:, None] + np.uint64(g << 40)
+        one, two = words[:, [0, 0, 1]], words[:, [1, 2, 2]]
+        name = mix(mix(one + _ODD * (at + np.arange(3, dtype=np.uint64))) ^ (two * _ODD))
+        if 2 * int((zero.sum(axis=1) >= 2).sum()) < 2 * m - t:
+            name = name[~(zero[:, [0, 0, 1]] & zero[:, [1, 2, 2]])]
+        out.append(name.reshape(-1) >> np.uint64(16))
+    return np.concatenate(out)
 
 
 def plain(s: np.ndarray) -> np.ndarray:
@@ -180,46 +173,45 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def _sketch_batches(k: int, bands: Bands, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    often = shared.value
+def node_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _class_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, bits, lists, ends = [], [], [], [], [0]
+        sizes, nodes, bits = [], [], []
         for null, text in zip(batch.column(0).is_null().to_pylist(), batch.column(2).to_pylist(), strict=True):
             s = shingles(text, k)
+            some = len(s) and not null
             sizes.append(len(s))
-            if null or not len(s):
-                digests.append(None)
-                bits.append(None)
-                lists.append(s[:0])
-            else:
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bits.append(plain(s).tobytes())
-                lists.append(keys(s, bands, often))
-            ends.append(ends[-1] + len(lists[-1]))
-        flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-            names=["id", "th", "n", "fp", "bits", "keys"],
-        )
-
-
-def _often_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes.append(node_of(s) if some else None)
+            bits.append(plain(s).tobytes() if some else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary())], names=["id", "th", "n", "node", "bits"])
+
+
+def _key_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node). A task lists the keys of equal sets once, so a key of thousands of copies is a row a task."""
+    seen: set[int] = set()
     for batch in batches:
-        found = [keys(shingles(text, k), bands, None) for text in batch.column(0).to_pylist()]
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        names, n = np.unique(flat, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+        lists, nodes, size = [np.zeros(0, np.uint64)], [], 0
 
+        def out():
+            which = np.repeat(np.array(nodes, np.int64), [len(x) for x in lists[1:]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(which)], names=["key", "node"])
 
-def frequent_keys(rows: DataFrame, k: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that occur OFTEN in a sample of SAMPLE ids at most, and how often: at most HELD of them come to the driver."""
-    some = rows.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    texts = rows.join(F.broadcast(some), "id").select("id", "th", "text").dropDuplicates(["th"]).select("text")
-    counted = texts.mapInArrow(partial(_often_batches, k, bands), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    found = counted.orderBy(F.desc("n"), "key").limit(HELD).toArrow()
-    names = found.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(names)
-    return names[order], found.column("n").to_numpy()[order]
+        for text in batch.column(0).to_pylist():
+            s = shingles(text, k)
+            if len(s) and (node := node_of(s)) not in seen:
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(node)
+                nodes.append(node)
+                lists.append(keys(s, bands))
+                size += len(lists[-1])
+                if size > 1 << 19:
+                    yield out()
+                    lists, nodes, size = lists[:1], [], 0
+        yield out()
 
 
 def _set_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,18 +326,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_keys(rows, k, bands))
-    a = rows.mapInArrow(partial(_sketch_batches, k, bands, shared), f"id {kind}, th long, n long, fp binary, bits binary, keys array<long>")
-    a = materialize(a.withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    a = rows.mapInArrow(partial(_class_batches, k), f"id {kind}, th long, n long, node long, bits binary")
+    a = materialize(a, "classes-of-rows")
     about = a.count()
-    classes = a.where("fp is not null").groupBy("fp").agg(F.min("uid").alias("node"), F.min("id").alias("least"), F.min(F.struct("uid", "id", "th", "n")).alias("of"))
-    classes = materialize(classes.select("fp", "node", "least", F.col("of.id").alias("id"), F.col("of.th").alias("th"), F.col("of.n").alias("n")), "classes", about_rows=about)
-
-    stands = a.where(F.size("keys") > 0).select(F.col("uid").alias("node"), "keys").join(classes.select("node").hint("merge"), "node", "left_semi")
-    pairs = stands.select(F.explode("keys").alias("key"), "node")
-    order = Window.partitionBy("key").orderBy("node")
-    routed = pairs.withColumn("home", F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("node != home")
-    routed = materialize(routed.select("home", "node").distinct(), "homes", about_rows=2 * about)
+    # One row stands for each class: the least id, and of equal ids the least text hash.
+    classes = a.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(classes.select("node", F.col("of.id").alias("id"), F.col("of.th").alias("th"), "n", "bits"), "classes", about_rows=about)
+
+    # Keys that two classes have at least, and their homes. Sets are made a second time here:
+    # their keys would take more disk than they take time.
+    listed = rows.where("id is not null").select("text").mapInArrow(partial(_key_batches, k, bands), "key long, node long")
+    order = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    routed = listed.withColumn("home", F.first("node").over(order)).where("node != home").select("home", "node").distinct()
+    routed = materialize(routed, "homes", about_rows=2 * about)
     routed = routed.unionByName(routed.select("home", F.col("home").alias("node")).distinct())
 
     sized = routed.join(classes.select("node", "n"), "node")
@@ -355,7 +348,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     blocks = sized.join(homes, "home").withColumn("sub", sub).select("home", "node", "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("other"))
     blocks = blocks.select("home", F.least("sub", "other").alias("one"), F.greatest("sub", "other").alias("two"), "sub", "node")
 
-    blocks = blocks.join(a.select(F.col("uid").alias("node"), "n", "bits"), "node").select("home", "one", "two", "sub", "node", "n", "bits")
+    blocks = blocks.join(classes.select("node", "n", "bits"), "node").select("home", "one", "two", "sub", "node", "n", "bits")
     blocks = blocks.repartition("home", "one", "two").sortWithinPartitions("home", "one", "two")
     groups = materialize(blocks.mapInArrow(partial(_candidate_batches, bands), "group long, node long").distinct(), "candidates", about_rows=about)
 
@@ -366,10 +359,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     links = met.mapInArrow(partial(_link_batches, bands), "u long, v long")
 
     roots = components(links, about)
-    named = classes.join(roots, classes["node"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("fp", "component")
-    out = a.select("id", "n", "fp").join(named, "fp", "left")
+    named = classes.join(roots, classes["node"] == roots["u"], "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("component"))
+    named = named.join(least, "root").select("node", "component")
+    out = a.select("id", "n", "node").join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
