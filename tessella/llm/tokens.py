@@ -77,6 +77,22 @@ class _Units(dict):
         self.line = line  # ids of a line end, where that is a pre-token
         self.after_line = self if after_line is None else after_line
 
+    def once(self, unit: str) -> bytes:
+        """The ids of a unit that the caller keeps itself; nothing is kept here but marks."""
+        found = _LETTERS(unit)
+        if found is None:
+            return self.whole(self.lead + unit)
+        core, tail = found.groups()
+        return self.letters(core) + self._end(tail) if tail else self.letters(core)
+
+    def _end(self, tail: str) -> bytes:
+        end = self.tails.get(tail)
+        if end is None:
+            end = self.whole(tail)
+            if len(self.tails) < 10_000:
+                self.tails[tail] = end
+        return end
+
     def __missing__(self, unit: str) -> bytes:
         found = _LETTERS(unit)
         if found is None:
@@ -87,15 +103,7 @@ class _Units(dict):
                 ids = self.whole(self.lead + unit)
         else:
             core, tail = found.groups()
-            if tail:
-                end = self.tails.get(tail)
-                if end is None:
-                    end = self.whole(tail)
-                    if len(self.tails) < 10_000:
-                        self.tails[tail] = end
-                ids = self[core] + end
-            else:
-                ids = self.letters(core)
+            ids = self[core] + self._end(tail) if tail else self.letters(core)
         if len(self) < CACHE_UNITS:
             self[unit] = ids
         return ids
