@@ -17,9 +17,11 @@ the band's largest pair.
 each group equal in a linked pair, 2 m chunks would differ; so with m > t / 2 some
 group has two equal chunks, and the pairs of chunks within groups are the join keys.
 At least m - t / 2 groups are of that kind, so a document with fewer groups of two or
-three zero chunks needn't list pairs of zeros, and others do. Two words, each of a few
-elements, are seldom shared by documents that have only a passage in common. A pair
-that shares a key shares the key's *home* (the least class that has it).
+three zero chunks, by two, needn't list pairs of zeros, and others do. A linked pair of
+all but small sets then shares two keys at least, chance and common passages mostly
+one. So keys of up to FEW documents give pairs, which are counted, and go on if they
+share two keys or a set is small. In keys of more, all documents go to the key's *home*
+(the least class that has it), and are compared there.
 
 *Prune.* Each home's documents are compared in square blocks of bounded size by
 set size and the Hamming distance of one plain sketch of about as many bits as the
@@ -60,6 +62,8 @@ from tessella.runtime import materialize
 RATIO = 1.4
 #: Groups beyond t / 2, a share of it.
 SPARE = 0.12
+#: Documents of a key up to which its pairs are counted.
+FEW = 16
 #: Documents and bytes of sets on each side of a block.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 24
 CACHE_WORDS = 300_000
@@ -154,7 +158,7 @@ def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         at = (np.arange(1, m + 1, dtype=np.uint64) * np.uint64(4))[:, None] + np.uint64(g << 40)
         one, two = words[:, [0, 0, 1]], words[:, [1, 2, 2]]
         name = mix(mix(one + _ODD * (at + np.arange(3, dtype=np.uint64))) ^ (two * _ODD))
-        if 2 * int((zero.sum(axis=1) >= 2).sum()) < 2 * m - t:
+        if 2 * int((zero.sum(axis=1) >= 2).sum()) < 2 * m - t - 2:
             name = name[~(zero[:, [0, 0, 1]] & zero[:, [1, 2, 2]])]
         out.append(name.reshape(-1) >> np.uint64(16))
     return np.concatenate(out)
@@ -173,18 +177,20 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def node_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(s: np.ndarray, bands: Bands) -> int:
+    """A hash of the set; its lowest bit is set if a link of it may share one key only."""
+    few = any(2 * m - t <= 2 for t, m in map(bands.plan, bands.of(len(s))))
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) & ~1 | few
 
 
-def _class_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _class_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, nodes, bits = [], [], []
         for null, text in zip(batch.column(0).is_null().to_pylist(), batch.column(2).to_pylist(), strict=True):
             s = shingles(text, k)
             some = len(s) and not null
             sizes.append(len(s))
-            nodes.append(node_of(s) if some else None)
+            nodes.append(node_of(s, bands) if some else None)
             bits.append(plain(s).tobytes() if some else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary())], names=["id", "th", "n", "node", "bits"])
 
@@ -201,7 +207,7 @@ def _key_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Ite
 
         for text in batch.column(0).to_pylist():
             s = shingles(text, k)
-            if len(s) and (node := node_of(s)) not in seen:
+            if len(s) and (node := node_of(s, bands)) not in seen:
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(node)
@@ -326,7 +332,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    a = rows.mapInArrow(partial(_class_batches, k), f"id {kind}, th long, n long, node long, bits binary")
+    a = rows.mapInArrow(partial(_class_batches, k, bands), f"id {kind}, th long, n long, node long, bits binary")
     a = materialize(a, "classes-of-rows")
     about = a.count()
     # One row stands for each class: the least id, and of equal ids the least text hash.
@@ -336,9 +342,16 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     # Keys that two classes have at least, and their homes. Sets are made a second time here:
     # their keys would take more disk than they take time.
     listed = rows.where("id is not null").select("text").mapInArrow(partial(_key_batches, k, bands), "key long, node long")
-    order = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    routed = listed.withColumn("home", F.first("node").over(order)).where("node != home").select("home", "node").distinct()
-    routed = materialize(routed, "homes", about_rows=2 * about)
+    key = Window.partitionBy("key")
+    listed = listed.withColumns({"home": F.first("node").over(key.orderBy("node").rowsBetween(Window.unboundedPreceding, 0)), "times": F.count("*").over(key)})
+    shared = listed.where("times > 1")
+    few = shared.where(F.col("times") <= FEW).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # at most FEW a key
+    at = F.posexplode("nodes").alias("i", "home")
+    pairs = few.select("nodes", at).select("home", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("node"))
+    small = (F.col("home").bitwiseAND(F.lit(1)) == 1) | (F.col("node").bitwiseAND(F.lit(1)) == 1)
+    pairs = pairs.groupBy("home", "node").agg(F.count("*").alias("c")).where((F.col("c") > 1) | small).select("home", "node")
+    crowds = shared.where((F.col("times") > FEW) & (F.col("node") != F.col("home"))).select("home", "node").distinct()
+    routed = materialize(pairs.unionByName(crowds).distinct(), "homes", about_rows=2 * about)
     routed = routed.unionByName(routed.select("home", F.col("home").alias("node")).distinct())
 
     sized = routed.join(classes.select("node", "n"), "node")
