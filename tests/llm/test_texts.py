@@ -266,6 +266,24 @@ def test_lm_odd_tables(spark, tmp_path):
     assert QUERIES["op5_lm_scores"](spark, write(none(spark), tmp_path)).count() == 0
 
 
+def _cycles(n, length=2000):
+    """Texts that go round one of two orders of 40 words: word counts tell nothing, neighbours all."""
+    names = [a + b for a in "bdfgk" for b in ("at", "en", "ig", "ol", "um", "ar", "et", "in")]
+    orders = [names, [names[i * 7 % 40] for i in range(40)]]
+    return [" ".join(orders[i % 2][(i + j) % 40] for j in range(length)) for i in range(n)]
+
+
+def test_lm_learns_from_documents_outside_the_sample(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = documents(spark, _cycles(120)).select("doc_id", "text")
+    rows = [r for r in lm.score_texts(df, path, sample=1, windows=1).collect() if r.held_out]
+    assert rows and sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
+    again = {r.doc_id: r.score for r in lm.score_texts(df.repartition(7), path, sample=1, windows=1).collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-3 * -r.score for r in rows)
+
+
 def test_attention_is_causal_and_windows_cover_each_id():
     from tessella.llm import attention
 
