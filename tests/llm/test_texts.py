@@ -284,6 +284,23 @@ def test_lm_learns_from_documents_outside_the_sample(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-3 * -r.score for r in rows)
 
 
+def test_lm_has_its_classes_and_windows_and_beats_the_base(spark):
+    import inspect
+
+    import public_tokenizers
+
+    from tessella.llm import attention
+
+    rng = np.random.default_rng(4)
+    near = (rng.random((2000, 256)) < 0.1).astype(np.float32)
+    of = attention.classes(near, np.full(2000, 10), np.zeros(2000, bool))
+    assert len(np.unique(of[attention.ALONE :])) > 100  # 124 contextual classes, less those of the 64 ids that stand alone
+    assert inspect.signature(lm.score_texts).parameters["windows"].default >= 40_000
+    out = lm.score_texts(documents(spark, _cycles(40, 600)), public_tokenizers.path("word_bpe_49k.json"))
+    rows = [r for r in out.collect() if r.held_out]
+    assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_attention_is_causal_and_windows_cover_each_id():
     from tessella.llm import attention
 
