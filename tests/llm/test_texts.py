@@ -301,6 +301,18 @@ def test_lm_has_its_classes_and_windows_and_beats_the_base(spark):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_lm_makes_the_same_passes_at_every_size(spark, monkeypatch):
+    import public_tokenizers
+
+    from tessella.llm import attention
+
+    seen = []
+    monkeypatch.setattr(attention.Model, "train", lambda self, x, y, epochs=2, **more: seen.append((len(x), epochs)))
+    for texts in (_cycles(10, 100), _cycles(120, 7000)):
+        lm.score_texts(documents(spark, texts), public_tokenizers.path("word_bpe_49k.json"))
+    assert seen[0][0] < 20_000 <= seen[1][0] and seen[0][1] == seen[1][1]
+
+
 def test_attention_is_causal_and_windows_cover_each_id():
     from tessella.llm import attention
 
