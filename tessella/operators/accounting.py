@@ -10,10 +10,10 @@ def with_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
     """Adds ``duplicate``: not the first row, in ``order``, with its ``key``.
 
     The first row of each key is a minimum that is combined on the map side, so a key
-    with very many copies is no hot task.
+    with very many copies is no hot task. Null is a key like others.
     """
-    first = df.groupBy(key).agg(F.min(order).alias("_first"))
-    return df.join(first, key).withColumn("duplicate", F.col(order) != F.col("_first")).drop("_first")
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("duplicate", F.col(order) != F.col("_first")).drop("_first")
 
 
 def audit(df: DataFrame, by: str, text: str, tokens: Column, duplicate: Column, truncated: Column | None = None) -> DataFrame:

@@ -68,3 +68,8 @@ def test_accounting(spark):
     assert A.latest(df, ["k"], "i", 1).count() == 2
     merged = A.merge_counters(df.select("i", F.lit(1).alias("x")).where("i < 3"), df.select("i", F.lit(2).alias("y")).where("i > 1"), "i", ["x"], ["y"])
     assert {r.i: (r.x, r.y) for r in merged.collect()} == {1: (1, 0), 2: (1, 2), 3: (0, 2)}
+
+
+def test_rows_with_a_null_key_are_duplicates_of_their_first(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "a"), (5, "b")], "i long, k string")
+    assert {r.i: r.duplicate for r in A.with_duplicates(df, "k", "i").collect()} == {1: False, 2: False, 3: True, 4: True, 5: False}
