@@ -327,8 +327,8 @@ def _link_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     yield _pairs_out(out, ["u", "v"])
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` of every row: the least id that links (similarity num / den or more) reach from it."""
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``th`` (hash of the text), ``n``, ``root`` (of its group; null without words or id) and ``component`` (the group's least id) of every row."""
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -374,16 +374,29 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     roots = components(links, about)
     named = classes.join(roots, classes["node"] == roots["u"], "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    named = named.join(least, "root").select("node", "component")
-    out = a.select("id", "n", "node").join(named, "node", "left")
+    named = named.join(least, "root").select("node", "root", "component")
+    return a.select("id", "th", "n", "node").join(named, "node", "left").drop("node")
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id`` of every row: the least id that links (similarity num / den or more) reach from it."""
+    out = _grouped(docs, k, num, den, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group; rows with a null id or without words stay."""
-    groups = jaccard_groups(docs, k, num, den, id_col, text_col)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of ``docs`` of each group: that of the least id, and of equal ids the least text hash; rows with a null id or without words stay."""
+    rows = _grouped(docs, k, num, den, id_col, text_col).where("root is not null").groupBy("root", "id", "th").agg(F.count("*").alias("times"))
+    rows = materialize(rows, "rows-of-groups")
+    least = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("least"))
+    rows = rows.join(least, "root").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "times", (F.struct("id", "th") == F.col("least")).alias("stays"))
+    row = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
+    kept = docs.join(rows.where("not stays").select("_id", "_th"), row, "left_anti")
+    twice = rows.where("stays and times > 1").select("_id", "_th")
+    if not twice.isEmpty():
+        one = kept.join(twice, row, "left_semi").withColumn("_th", F.xxhash64(text_col)).dropDuplicates([id_col, "_th"]).drop("_th")
+        kept = kept.join(twice, row, "left_anti").unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sql(k: int = 3, num: int = 90, den: int = 100) -> str:

@@ -164,6 +164,13 @@ def test_near_copies_odd_tables(spark):
     assert all(r.component_id is None for r in parity_join.jaccard_groups(lost).collect())
 
 
+def test_near_copies_decide_by_row(spark):
+    a, b = "one two three four five six seven", "quite another text of some eight plain words"
+    df = spark.createDataFrame([(3, a), (3, a), (5, a), (5, b), (7, None), (7, None), (None, a)], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in parity_join.keep_one_of_each(df).collect())
+    assert kept == [(0, a), (3, a), (5, b), (7, ""), (7, "")]
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(50):
