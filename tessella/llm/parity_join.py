@@ -10,32 +10,34 @@ the Hamming distance of two sketches is a lower bound of the sets' difference, a
 at most t of the p chunks of a linked pair differ.
 
 *Bands.* Band g takes the sizes from R^g on and all sizes that can be linked to one
-below R^(g+1), so every linked pair meets in the band of its smaller set; t is that of
-the band's largest pair.
-
-*Pigeonhole join.* The p chunks stand in m groups of three. Were at most one chunk of
-each group equal in a linked pair, 2 m chunks would differ; so with m > t / 2 some
-group has two equal chunks, and the pairs of chunks within groups are the join keys.
-At least m - t / 2 groups are of that kind, so a document with fewer groups of two or
-three zero chunks, by two, needn't list pairs of zeros, and others do. A linked pair of
-all but small sets then shares two keys at least, chance and common passages mostly
-one. So keys of up to FEW documents give pairs, which are counted, and go on if they
-share two keys or a set is small. In keys of more, all documents go to the key's *home*
-(the least class that has it), and are compared there.
-
-*Prune.* Each home's documents are compared in square blocks of bounded size by
-set size and the Hamming distance of one plain sketch of about as many bits as the
-set has elements. What stays apart here is apart; the rest falls into small
-candidate groups, and equal groups of different homes become one.
-
-*Verify.* Only then are sets compared, group by group. A pair that is already
-connected within its group isn't looked at again, and a group returns a tree of
-links (not all pairs), which is all that components need. No home is capped: a
-larger one just has more blocks.
-
-Equal sets are one class from the start (known by a 64-bit part of their digest), so
-thousands of copies cost one document. Sets of candidates are made anew from the texts
-of the one row that stands for its class, rather than kept for all documents.
+below R^(g+1), so every linked pair meets in the band of its smaller set.
+
+*Pigeonhole join.* p = 2 t + 1 chunks, t that of the band's largest pair. In any one
+order of all (chunk, value) words, linked sets share one of the first t + 1 words of
+each, t that of a set with its largest partner: were none shared, more than t chunks
+would differ. The order puts frequent words last (zeros at the very end), so passages
+that many documents hold are no join keys unless they make up most of a document.
+Frequencies come from all documents: every task counts its words, those that repeat
+in it are summed by slot, and the table of levels by slot is of fixed size. Any
+table gives whole results; it only decides which words are keys.
+
+*Homes.* A key's documents meet at its *home*, the least class that has it. Cold keys
+are grouped by parts of bounded size; keys that the table knows as hot are reduced to
+their home by a map-side aggregate and handed out by a join that adaptive execution may split.
+
+*First round.* Each document is compared with its least home only: Hamming distance
+of plain sketches first, then whole sets, in blocks that hold the home and a
+bounded number of others. Work grows with the documents, however large a group is.
+
+*Second round.* Homes all of whose documents are connected by then are done. In
+the others, documents of different components are compared in square blocks
+of bounded size: sketches first, then the sets of those that sketches let meet. No home
+is capped: a larger one just has more blocks.
+
+Equal sets are one class from the start (known by 128 bits of their digest), so
+thousands of copies cost one document. Sets are made anew from the texts where they are
+needed, rather than kept for all documents; a Bloom filter of fixed size keeps
+the other texts from being cut again.
 
 Null or blank texts have an empty set and are linked with nothing. A text of fewer
 than ``k`` words has its whole sequence as one shingle. Rows with a null id are
@@ -52,58 +54,84 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import bloom
 from tessella.llm.components import components
 from tessella.runtime import materialize
 
 RATIO = 1.4
-#: Groups beyond t / 2, a share of it.
-SPARE = 0.12
-#: Documents of a key up to which its pairs are counted.
-FEW = 16
+#: Bits of a slot of the table of word frequencies, words that a task counts at once, and times from which it reports one.
+SLOT_BITS, COUNTED, REPEATED = 21, 1 << 21, 3
+#: Level (log2 of a frequency) from which a key is hot; that of zero chunks; rows of a part of cold keys.
+HOT, ZERO, PART = 11, 127, 1 << 21
 #: Documents and bytes of sets on each side of a block.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 24
 CACHE_WORDS = 300_000
-#: Classes that a task remembers.
-SEEN = 500_000
+#: Classes that a task remembers, and bytes of texts cut at once.
+SEEN, CUT_BYTES = 500_000, 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    """Word -> 64-bit hash."""
+
+    def __missing__(self, w: bytes) -> int:
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+_words = _Words()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingles(text: bytes | None, k: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the ``k``-word shingles of a text, A-Z lower-cased."""
-    import xxhash
-
-    words = (text or b"").lower().split()  # of bytes: ASCII letters and white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _words
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    hashes = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    a = np.array(hashes, np.uint64)
-    n = max(1, len(a) - k + 1)
-    acc = np.full(n, np.uint64(min(k, len(a))), np.uint64)
-    for i in range(min(k, len(a))):
-        acc = mix(acc * _ODD + a[i : i + n])
-    return np.unique(acc)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def _hashed(a: np.ndarray, k: int) -> np.ndarray:
+    n = len(a) - k + 1
+    acc = np.full(n, np.uint64(k), np.uint64)
+    for i in range(k):
+        acc *= _ODD
+        acc += a[i : i + n]
+        acc = mix(acc)
+    return acc
+
+
+def sets_of(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit hashes of the ``k``-word shingles of each text, A-Z lower-cased."""
+    at = 0
+    while at < len(texts):
+        size, to, held = 0, at, []
+        while to < len(texts) and size < CUT_BYTES:
+            held.append((texts[to] or b"").lower().split())  # of bytes: ASCII letters and white space only
+            size += len(texts[to] or b"")
+            to += 1
+        if len(_words) > CACHE_WORDS:
+            _words.clear()
+        counts = [len(w) for w in held]
+        a = np.fromiter((h for w in held for h in map(_words.__getitem__, w)), np.uint64, sum(counts))
+        acc = _hashed(a, k) if len(a) >= k else a
+        start = 0
+        for n in counts:
+            if n >= k:
+                s = acc[start : start + n - k + 1].copy()
+                s.sort()
+                yield s[np.flatnonzero(np.append(True, s[1:] != s[:-1]))] if len(s) > 1 else s
+            else:
+                yield _hashed(a[start : start + n], n) if n else np.zeros(0, np.uint64)
+            start += n
+        at = to
 
 
 class Bands:
@@ -113,6 +141,7 @@ class Bands:
         if not 0 < num <= den:
             raise ValueError("the similarity must lie in (0, 1]")
         self.num, self.den = num, den
+        self._of: dict[int, list[tuple[int, int, int]]] = {}
 
     def differences(self, a, c):
         return (a + c) * (self.den - self.num) // (self.den + self.num)
@@ -123,23 +152,25 @@ class Bands:
     def high(self, g: int) -> int:
         return (self.low(g + 1) - 1) * self.den // self.num
 
-    def of(self, n: int) -> list[int]:
-        """The bands of a size, in which it can meet a set that is linked to it but not equal."""
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, its chunks, keys to list) for the bands in which a set of this size can meet one that is linked to it but not equal."""
+        if n in self._of:
+            return self._of[n]
         g = max(0, int(math.log(max(n, 1), RATIO)) - 1)
         while self.low(g + 1) <= n:
             g += 1
         out = []
         while g >= 0 and n <= self.high(g):
-            if self.plan(g)[0]:
-                out.append(g)
+            least = self.low(g + 1) - 1
+            partner = min(n * self.den // self.num, self.high(g)) if n <= least else least
+            t = int(self.differences(n, partner))
+            if t and self.low(g) <= least:
+                out.append((g, 2 * int(self.differences(least, self.high(g))) + 1, t + 1))
             g -= 1
+        if len(self._of) < 1 << 16:
+            self._of[n] = out
         return out
 
-    def plan(self, g: int) -> tuple[int, int]:
-        """t and m of a band."""
-        t = int(self.differences(self.low(g + 1) - 1, self.high(g)))
-        return t, t // 2 + 1 + math.ceil(SPARE * t / 2)
-
 
 def sketch(s: np.ndarray, p: int) -> np.ndarray:
     """p 64-bit words: each element flips one bit of one word."""
@@ -148,20 +179,22 @@ def sketch(s: np.ndarray, p: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set in all of its bands: pairs of chunks of a group, named by hashes."""
-    out = [np.zeros(0, np.uint64)]
-    for g in bands.of(len(s)):
-        t, m = bands.plan(g)
-        words = sketch(s, 3 * m).reshape(m, 3)
-        zero = words == 0
-        at = (np.arange(1, m + 1, dtype=np.uint64) * np.uint64(4))[:, None] + np.uint64(g << 40)
-        one, two = words[:, [0, 0, 1]], words[:, [1, 2, 2]]
-        name = mix(mix(one + _ODD * (at + np.arange(3, dtype=np.uint64))) ^ (two * _ODD))
-        if 2 * int((zero.sum(axis=1) >= 2).sum()) < 2 * m - t - 2:
-            name = name[~(zero[:, [0, 0, 1]] & zero[:, [1, 2, 2]])]
-        out.append(name.reshape(-1) >> np.uint64(16))
-    return np.concatenate(out)
+def words_of(s: np.ndarray, g: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names of a set's (band, chunk, value) words, and which chunks are zero."""
+    value = sketch(s, p)
+    return mix(value + _ODD * (np.arange(1, p + 1, dtype=np.uint64) + np.uint64(g << 40))), value == 0
+
+
+def keys(s: np.ndarray, bands: Bands, levels: np.ndarray) -> list[np.ndarray]:
+    """The join keys of a set, band by band: the first words in the order of (level, name)."""
+    out = []
+    for g, p, n in bands.of(len(s)):
+        name, zero = words_of(s, g, p)
+        level = levels[(name >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        level[zero] = ZERO
+        key = (level.astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
+        out.append(np.partition(key, n - 1)[:n] if n < p else key)
+    return out
 
 
 def plain(s: np.ndarray) -> np.ndarray:
@@ -177,61 +210,131 @@ def fold(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def node_of(s: np.ndarray, bands: Bands) -> int:
-    """A hash of the set; its lowest bit is set if a link of it may share one key only."""
-    few = any(2 * m - t <= 2 for t, m in map(bands.plan, bands.of(len(s))))
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) & ~1 | few
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers; the first alone routes it."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+class _Seen:
+    """Names that a task has met, up to SEEN of them; a name that was dropped counts as new."""
+
+    def __init__(self):
+        self.held: set[int] = set()
+
+    def new(self, x: int) -> bool:
+        if x in self.held:
+            return False
+        if len(self.held) > SEEN:
+            self.held.clear()
+        self.held.add(x)
+        return True
+
+
+CLASS_ROWS = "th long, n long, node long, more long, bits binary, slot int, times long"
 
 
 def _class_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a document, and rows (slot, times) of the words that repeat among a task's classes."""
+    names = [x.split()[0] for x in CLASS_ROWS.split(", ")]
+    seen, held, size, kind = _Seen(), [], 0, None
+
+    def counted():
+        nonlocal held, size
+        name, n = np.unique(np.concatenate(held), return_counts=True)
+        some = n >= REPEATED
+        slot, at = np.unique(name[some] >> np.uint64(64 - SLOT_BITS), return_inverse=True)
+        times = np.bincount(at, n[some], minlength=len(slot)).astype(np.int64)
+        held, size = [], 0
+        nulls = [pa.nulls(len(slot), t) for t in (kind, *[pa.int64()] * 4, pa.binary())]
+        return pa.RecordBatch.from_arrays([*nulls, pa.array(slot.astype(np.int32)), pa.array(times)], names=["id", *names])
+
     for batch in batches:
-        sizes, nodes, bits = [], [], []
-        for null, text in zip(batch.column(0).is_null().to_pylist(), batch.column(2).to_pylist(), strict=True):
-            s = shingles(text, k)
+        kind = batch.schema.field(0).type
+        sizes, nodes, more, bits = [], [], [], []
+        for null, s in zip(batch.column(0).is_null().to_pylist(), sets_of(batch.column(2).to_pylist(), k), strict=True):
             some = len(s) and not null
+            node, rest = digest(s) if some else (None, None)
             sizes.append(len(s))
-            nodes.append(node_of(s, bands) if some else None)
+            nodes.append(node)
+            more.append(rest)
             bits.append(plain(s).tobytes() if some else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary())], names=["id", "th", "n", "node", "bits"])
+            if some and seen.new(node):
+                for g, p, _ in bands.of(len(s)):
+                    name, zero = words_of(s, g, p)
+                    held.append(name[~zero])
+                    size += p
+                if size > COUNTED:
+                    yield counted()
+        rows = len(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(more, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())],
+            names=["id", *names],
+        )
+    if held:
+        yield counted()
 
 
-def _key_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node). A task lists the keys of equal sets once, so a key of thousands of copies is a row a task."""
-    seen: set[int] = set()
+def _key_batches(k: int, bands: Bands, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node). A task lists the keys of equal sets once."""
+    seen, levels = _Seen(), shared.value
     for batch in batches:
-        lists, nodes, size = [np.zeros(0, np.uint64)], [], 0
+        lists, nodes, lengths, size = [], [], [], 0
 
         def out():
-            which = np.repeat(np.array(nodes, np.int64), [len(x) for x in lists[1:]])
+            which = np.repeat(np.array(nodes, np.int64), lengths)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(which)], names=["key", "node"])
 
-        for text in batch.column(0).to_pylist():
-            s = shingles(text, k)
-            if len(s) and (node := node_of(s, bands)) not in seen:
-                if len(seen) > SEEN:
-                    seen.clear()
-                seen.add(node)
+        for s in sets_of(batch.column(0).to_pylist(), k):
+            if len(s) and bands.of(len(s)) and seen.new(node := digest(s)[0]):
+                own = keys(s, bands, levels)
+                lists += own
                 nodes.append(node)
-                lists.append(keys(s, bands))
-                size += len(lists[-1])
+                lengths.append(sum(map(len, own)))
+                size += lengths[-1]
                 if size > 1 << 19:
                     yield out()
-                    lists, nodes, size = lists[:1], [], 0
-        yield out()
+                    lists, nodes, lengths, size = [], [], [], 0
+        if nodes:
+            yield out()
+
 
+def _home_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows (key, node) of a part's keys -> distinct rows (home, node) of keys that two nodes have at least."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    key, node = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+    del held
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    first = np.append(True, key[1:] != key[:-1])[: len(key)]
+    home = node[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else node
+    some = home != node
+    pairs = np.stack([home[some], node[some]], axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    if len(pairs):
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+    yield _longs(["home", "node"], pairs[:, 0], pairs[:, 1])
 
-def _set_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _longs(names: list[str], *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+
+def _set_batches(k: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, th, hash of both, text) -> (id, th, set) of the rows that the filter lets through, equal ones of a task once."""
+    wanted, seen = shared.value, _Seen()
     for batch in batches:
-        nodes, sets, size = [], [], 0
-        for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            nodes.append(node)
-            sets.append(shingles(text, k).tobytes())
+        h = batch.column(2).to_numpy()
+        at = np.array([i for i in np.flatnonzero(wanted.has(h)).tolist() if seen.new(int(h[i]))], np.int64)
+        some = pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in (0, 1, 3)], names=["id", "th", "text"])
+        sets, size, first = [], 0, 0
+        for i, s in enumerate(sets_of(some.column(2).to_pylist(), k)):
+            sets.append(s.tobytes())
             size += len(sets[-1])
-            if size > 1 << 24:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
-                nodes, sets, size = [], [], 0
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+            if size > 1 << 24 or i + 1 == len(at):
+                own = some.slice(first, len(sets))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sets, pa.binary())], names=["id", "th", "set"])
+                sets, size, first = [], 0, i + 1
 
 
 def near(bands: Bands, words: np.ndarray, sizes: np.ndarray, i: int, at: np.ndarray) -> np.ndarray:
@@ -244,41 +347,54 @@ def near(bands: Bands, words: np.ndarray, sizes: np.ndarray, i: int, at: np.ndar
     return at
 
 
-def candidates(bands: Bands, nodes: list[int], sizes: list[int], bits: list[np.ndarray], side: list[int]) -> list[list[int]]:
-    """The groups that possible links make; ``side`` tells the two sides of a block apart (one side: all pairs)."""
+def alike(bands: Bands, a: np.ndarray, c: np.ndarray) -> bool:
+    both = np.intersect1d(a, c, assume_unique=True).size
+    return bands.den * both >= bands.num * (len(a) + len(c) - both)
+
+
+def _near_pair_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(home, node, their sizes and plain sketches) -> the pairs that can be linked."""
+    for batch in batches:
+        out = []
+        for home, node, hn, n, hbits, bits in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if bands.den * min(n, hn) >= bands.num * max(n, hn):
+                a, c = np.frombuffer(hbits, np.uint64), np.frombuffer(bits, np.uint64)
+                least = min(len(a), len(c))
+                if int(np.bitwise_count(fold(a, least) ^ fold(c, least)).sum()) <= bands.differences(n, hn):
+                    out.append((home, node))
+        yield _longs(["home", "node"], *(zip(*out, strict=True) if out else ((), ())))
+
+
+def candidates(bands: Bands, nodes: list[int], sizes: list[int], bits: list[np.ndarray], parts: list[int], side: list[int]) -> list[list[int]]:
+    """Groups (of places) that possible links between different ``parts`` make; ``side`` tells the two sides of a block apart (one side: all pairs)."""
     least = min(map(len, bits))
-    n, words, sides = np.array(sizes, np.int64), np.stack([fold(b, least) for b in bits]), np.array(side)
-    apart, label = len(set(side)) > 1, np.arange(len(nodes))
+    n, words, sides, part = np.array(sizes, np.int64), np.stack([fold(b, least) for b in bits]), np.array(side), np.array(parts)
+    apart, label, touched = len(set(side)) > 1, np.arange(len(nodes)), np.zeros(len(nodes), bool)
     for i in range(len(nodes) - 1):
         at = np.arange(i + 1, len(nodes))
-        rest = label[at] != label[i]
+        rest = part[at] != part[i]
         if apart:
             rest &= sides[at] != sides[i]
-        for one in np.unique(label[near(bands, words, n, i, at[rest])]):
-            label[label == one] = label[i]
-    order = np.argsort(label, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
-    return [[nodes[x] for x in g] for g in groups if len(g) > 1]
-
-
-def linked(bands: Bands, nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A tree (node, root) for each group of linked sets."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    words = np.stack([sketch(s, max(4, int(sizes.max()) // 8)) for s in sets])
-    label = np.arange(len(nodes))
+        found = near(bands, words, n, i, at[rest])
+        if found.size:
+            touched[i] = touched[found] = True
+            for one in np.unique(label[found]):
+                label[label == one] = label[i]
+    order = np.flatnonzero(touched)
+    order = order[np.argsort(label[order], kind="stable")]
+    return [g.tolist() for g in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(g) > 1]
+
+
+def linked(bands: Bands, nodes: list[int], sets: list[np.ndarray], parts: list[int]) -> list[tuple[int, int]]:
+    """Links between sets of different ``parts``: as many as it takes to connect those parts that any link connects."""
+    sizes, label = np.array([len(s) for s in sets], np.int64), np.array(parts)
+    words, out = np.stack([sketch(s, max(4, int(sizes.max()) // 8)) for s in sets]), []
     for i in range(len(nodes) - 1):
         at = np.arange(i + 1, len(nodes))
         for j in near(bands, words, sizes, i, at[label[at] != label[i]]).tolist():
-            if label[i] == label[j]:
-                continue
-            both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if bands.den * both >= bands.num * (sizes[i] + sizes[j] - both):
+            if label[i] != label[j] and alike(bands, sets[i], sets[j]):
                 label[label == label[j]] = label[i]
-    out = []
-    for one in np.unique(label):
-        group = [nodes[x] for x in np.flatnonzero(label == one)]
-        root = min(group)
-        out += [(x, root) for x in group if x != root]
+                out.append((nodes[i], nodes[j]))
     return out
 
 
@@ -296,35 +412,132 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple
         yield held
 
 
-def _pairs_out(rows: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
-    u, v = zip(*rows, strict=True) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=names)
+def _star_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (home, sub, node, set) in order of home and sub -> the nodes that are linked to their home."""
+    out: list[tuple[int, int]] = []
+    for run in _runs(batches, 2):
+        rows = {r[2]: np.frombuffer(r[3], np.uint64) for r in run}
+        if (own := rows.get(run[0][0])) is not None:
+            out += [(node, run[0][0]) for node, s in rows.items() if node != run[0][0] and alike(bands, own, s)]
+        if len(out) > 50_000:
+            yield _longs(["u", "v"], *zip(*out, strict=True))
+            out = []
+    yield _longs(["u", "v"], *(zip(*out, strict=True) if out else ((), ())))
 
 
 def _candidate_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int]] = []
+    """Rows (home, one, two, sub, node, component, n, bits) in order of the block -> (group, node, component)."""
+    out: list[tuple[int, int, int]] = []
     for run in _runs(batches, 3):
         rows = list({r[4]: r for r in run}.values())
         if len(rows) > 1:
-            for group in candidates(bands, [r[4] for r in rows], [r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows], [r[3] for r in rows]):
-                group.sort()
-                name = int.from_bytes(hashlib.blake2b(np.array(group, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
-                out += [(name, x) for x in group]
+            nodes = [r[4] for r in rows]
+            for group in candidates(bands, nodes, [r[6] for r in rows], [np.frombuffer(r[7], np.uint64) for r in rows], [r[5] for r in rows], [r[3] for r in rows]):
+                group.sort(key=nodes.__getitem__)
+                name = digest(np.array([nodes[x] for x in group], np.int64))[0]
+                out += [(name, nodes[x], rows[x][5]) for x in group]
         if len(out) > 50_000:
-            yield _pairs_out(out, ["group", "node"])
+            yield _longs(["group", "node", "part"], *zip(*out, strict=True))
             out = []
-    yield _pairs_out(out, ["group", "node"])
+    yield _longs(["group", "node", "part"], *(zip(*out, strict=True) if out else ((), (), ())))
 
 
 def _link_batches(bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, node, component, set) in order of the group -> links (as components)."""
     out: list[tuple[int, int]] = []
     for run in _runs(batches, 1):
-        rows = {r[1]: np.frombuffer(r[2], np.uint64) for r in run}
-        out += linked(bands, list(rows), list(rows.values())) if len(rows) > 1 else []
+        rows = {r[1]: r for r in run}
+        if len(rows) > 1:
+            own = {r[1]: r[2] for r in rows.values()}
+            out += [(own[u], own[v]) for u, v in linked(bands, list(rows), [np.frombuffer(r[3], np.uint64) for r in rows.values()], list(own.values()))]
         if len(out) > 50_000:
-            yield _pairs_out(out, ["u", "v"])
+            yield _longs(["u", "v"], *zip(*out, strict=True))
             out = []
-    yield _pairs_out(out, ["u", "v"])
+    yield _longs(["u", "v"], *(zip(*out, strict=True) if out else ((), ())))
+
+
+def _levels(counted: DataFrame) -> np.ndarray:
+    """log2 of the frequency of every slot's repeated words; 0 for others. One row a slot at most comes to the driver."""
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    rows = counted.groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
+    out[rows["slot"].to_numpy(np.int64)] = np.minimum(np.log2(rows["times"].to_numpy(np.float64)), ZERO - 1)
+    return out
+
+
+def _key_hash() -> Column:
+    return F.xxhash64("id", "th")
+
+
+def _with_sets(rows: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``members`` (with a ``node``) beside the set of each node."""
+    members = members.join(classes.select("node", "id", "th"), "node")
+    wanted = bloom.build(members.select(_key_hash().alias("h")))
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)  # of fixed size at most
+    texts = rows.where("id is not null").select("id", "th", _key_hash().alias("h"), "text")
+    sets = texts.mapInArrow(partial(_set_batches, k, shared), f"id {rows.schema['id'].dataType.simpleString()}, th long, set binary")
+    return members.join(sets, ["id", "th"]).drop("id", "th")
+
+
+def _blocks(sized: DataFrame, per: str) -> DataFrame:
+    """``per`` and ``subs``: the number of parts of bounded size that its rows (with their size ``n``) make."""
+    width = F.least(F.lit(BLOCK_DOCS), F.greatest(F.lit(32), F.floor(F.lit(BLOCK_BYTES) / (F.col("widest") * 8))))
+    return sized.groupBy(per).agg(F.count("*").alias("m"), F.max("n").alias("widest")).select(per, F.ceil(F.col("m") / width).alias("subs"))
+
+
+def _first_round(rows: DataFrame, classes: DataFrame, routed: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """Links (u, v) of nodes with the least of their homes."""
+    sized = classes.select("node", "n", "bits")
+    pairs = routed.groupBy("node").agg(F.min("home").alias("home")).join(sized, "node").join(sized.toDF("home", "hn", "hbits"), "home")
+    pairs = pairs.select("home", "node", "hn", "n", "hbits", "bits").mapInArrow(partial(_near_pair_batches, bands), "home long, node long")
+    pairs = materialize(pairs, "first-pairs")
+    subs = _blocks(pairs.join(classes.select("node", "n"), "node"), "home")
+    at = pairs.join(subs, "home").select("home", F.pmod(F.xxhash64("node"), F.col("subs")).alias("sub"), "node")
+    homes = subs.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), F.col("home").alias("node"))
+    members = materialize(at.unionByName(homes), "first-members")
+    met = _with_sets(rows, members, classes, k).select("home", "sub", "node", "set")
+    return met.repartition("home", "sub").sortWithinPartitions("home", "sub").mapInArrow(partial(_star_batches, bands), "u long, v long")
+
+
+def _second_round(rows: DataFrame, classes: DataFrame, routed: DataFrame, roots: DataFrame, k: int, bands: Bands) -> DataFrame | None:
+    """Links between components that share a home; None if no home holds two of them but in a pair that was compared."""
+    of = roots.select(F.col("u").alias("node"), F.col("root").alias("part"))
+    least = routed.groupBy("node").agg(F.min("home").alias("least"))
+    all_of = routed.unionByName(routed.select("home", F.col("home").alias("node")).distinct())
+    parted = all_of.join(of, "node", "left").select("home", "node", F.coalesce("part", "node").alias("part"))
+    state = parted.groupBy("home").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("m"), F.max("node").alias("far"), F.min("node").alias("near"))
+    # The pair of a home of two has been compared if the home is the other's least one.
+    other = F.when(F.col("far") == F.col("home"), F.col("near")).otherwise(F.col("far"))
+    mixed = state.where("a != b").select("home", "m", other.alias("node")).join(least, "node", "left").where("m > 2 or least != home").select("home")
+    parted = materialize(parted.join(mixed, "home"), "mixed")
+    if parted.isEmpty():
+        return None
+    sized = parted.join(classes.select("node", "n"), "node")
+    sub = F.pmod(F.xxhash64("node"), F.col("subs"))
+    blocks = sized.join(_blocks(sized, "home"), "home").withColumn("sub", sub).select("home", "node", "part", "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("other"))
+    blocks = blocks.select("home", F.least("sub", "other").alias("one"), F.greatest("sub", "other").alias("two"), "sub", "node", "part")
+    blocks = blocks.join(classes.select("node", "n", "bits"), "node").select("home", "one", "two", "sub", "node", "part", "n", "bits")
+    blocks = blocks.repartition("home", "one", "two").sortWithinPartitions("home", "one", "two")
+    groups = materialize(blocks.mapInArrow(partial(_candidate_batches, bands), "group long, node long, part long").distinct(), "candidates")
+    if groups.isEmpty():
+        return None
+    met = _with_sets(rows, groups, classes, k).select("group", "node", "part", "set").repartition("group").sortWithinPartitions("group")
+    return met.mapInArrow(partial(_link_batches, bands), "u long, v long")
+
+
+def _routed(rows: DataFrame, classes: DataFrame, levels: np.ndarray, k: int, bands: Bands) -> DataFrame:
+    """Distinct (home, node): the documents that share a key, but for the home itself."""
+    shared = rows.sparkSession.sparkContext.broadcast(levels)  # of fixed size
+    listed = rows.where("id is not null").select("text").mapInArrow(partial(_key_batches, k, bands, shared), "key long, node long")
+    listed = materialize(listed, "keys")
+    hot = F.col("key") >= F.lit(HOT << 56)
+    cold = listed.where(~hot).repartition(max(1, -(-listed.count() // PART)), "key").mapInArrow(_home_batches, "home long, node long")
+    heated = listed.where(hot)
+    least = heated.groupBy("key").agg(F.min("node").alias("home"), F.max("node").alias("last")).where("home != last").select("key", "home")
+    heated = heated.join(least, "key").where("home != node").select("home", "node")
+    routed = cold.unionByName(heated).distinct()
+    named = classes.select("route", "node")
+    routed = routed.join(named.toDF("home", "h"), "home").join(named.toDF("node", "c"), "node")
+    return materialize(routed.select(F.col("h").alias("home"), F.col("c").alias("node")), "homes")
 
 
 def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -332,50 +545,25 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    a = rows.mapInArrow(partial(_class_batches, k, bands), f"id {kind}, th long, n long, node long, bits binary")
-    a = materialize(a, "classes-of-rows")
-    about = a.count()
+    made = materialize(rows.mapInArrow(partial(_class_batches, k, bands), f"id {kind}, {CLASS_ROWS}"), "classes-of-rows")
+    a = made.where("slot is null").select("id", "th", "n", F.col("node").alias("route"), "more", "bits")
     # One row stands for each class: the least id, and of equal ids the least text hash.
-    classes = a.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = materialize(classes.select("node", F.col("of.id").alias("id"), F.col("of.th").alias("th"), "n", "bits"), "classes", about_rows=about)
-
-    # Keys that two classes have at least, and their homes. Sets are made a second time here:
-    # their keys would take more disk than they take time.
-    listed = rows.where("id is not null").select("text").mapInArrow(partial(_key_batches, k, bands), "key long, node long")
-    key = Window.partitionBy("key")
-    listed = listed.withColumns({"home": F.first("node").over(key.orderBy("node").rowsBetween(Window.unboundedPreceding, 0)), "times": F.count("*").over(key)})
-    shared = listed.where("times > 1")
-    few = shared.where(F.col("times") <= FEW).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # at most FEW a key
-    at = F.posexplode("nodes").alias("i", "home")
-    pairs = few.select("nodes", at).select("home", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("node"))
-    small = (F.col("home").bitwiseAND(F.lit(1)) == 1) | (F.col("node").bitwiseAND(F.lit(1)) == 1)
-    pairs = pairs.groupBy("home", "node").agg(F.count("*").alias("c")).where((F.col("c") > 1) | small).select("home", "node")
-    crowds = shared.where((F.col("times") > FEW) & (F.col("node") != F.col("home"))).select("home", "node").distinct()
-    routed = materialize(pairs.unionByName(crowds).distinct(), "homes", about_rows=2 * about)
-    routed = routed.unionByName(routed.select("home", F.col("home").alias("node")).distinct())
-
-    sized = routed.join(classes.select("node", "n"), "node")
-    width = F.least(F.lit(BLOCK_DOCS), F.greatest(F.lit(32), F.floor(F.lit(BLOCK_BYTES) / (F.col("widest") * 8))))
-    homes = sized.groupBy("home").agg(F.count("*").alias("m"), F.max("n").alias("widest")).select("home", F.ceil(F.col("m") / width).alias("subs"))
-    sub = F.pmod(F.xxhash64("node"), F.col("subs"))
-    blocks = sized.join(homes, "home").withColumn("sub", sub).select("home", "node", "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("other"))
-    blocks = blocks.select("home", F.least("sub", "other").alias("one"), F.greatest("sub", "other").alias("two"), "sub", "node")
-
-    blocks = blocks.join(classes.select("node", "n", "bits"), "node").select("home", "one", "two", "sub", "node", "n", "bits")
-    blocks = blocks.repartition("home", "one", "two").sortWithinPartitions("home", "one", "two")
-    groups = materialize(blocks.mapInArrow(partial(_candidate_batches, bands), "group long, node long").distinct(), "candidates", about_rows=about)
-
-    need = materialize(groups.select("node").distinct().join(classes, "node").select("node", "id", "th"), "need", about_rows=about)
-    texts = rows.join(need, ["id", "th"]).select("node", "text")
-    sets = texts.mapInArrow(partial(_set_batches, k), "node long, set binary")
-    met = groups.join(sets, "node").select("group", "node", "set").repartition("group").sortWithinPartitions("group")
-    links = met.mapInArrow(partial(_link_batches, bands), "u long, v long")
-
-    roots = components(links, about)
-    named = classes.join(roots, classes["node"] == roots["u"], "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    classes = a.where("route is not null").groupBy("route", "more").agg(F.min(F.struct("id", "th")).alias("of"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = classes.select("route", "more", F.monotonically_increasing_id().alias("node"), F.col("of.id").alias("id"), F.col("of.th").alias("th"), "n", "bits")
+    classes = materialize(classes, "classes")
+
+    routed = _routed(rows, classes, _levels(made.where("slot is not null")), k, bands)
+    roots = components(_first_round(rows, classes, routed, k, bands))
+    more = _second_round(rows, classes, routed, roots, k, bands)
+    if more is not None:
+        second = components(more).toDF("root", "final")
+        joined = roots.join(second, "root", "left").select("u", F.coalesce("final", "root").alias("root"))
+        roots = materialize(joined.unionByName(second.toDF("u", "root")), "roots")
+
+    named = classes.join(roots, classes["node"] == roots["u"], "left").select("route", "more", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    named = named.join(least, "root").select("node", "root", "component")
-    return a.select("id", "th", "n", "node").join(named, "node", "left").drop("node")
+    named = named.join(least, "root").select("route", "more", "root", "component")
+    return a.drop("bits").join(named, ["route", "more"], "left").drop("route", "more")
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,18 +573,28 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` of each group: that of the least id, and of equal ids the least text hash; rows with a null id or without words stay."""
+    """One row of ``docs`` of each group: that of the least id, and of equal ids the least text hash; rows with a null id or without words stay.
+
+    Rows that a Bloom filter of those to go doesn't let through stay where they are, so
+    only texts of groups are shuffled.
+    """
+    spark = docs.sparkSession
     rows = _grouped(docs, k, num, den, id_col, text_col).where("root is not null").groupBy("root", "id", "th").agg(F.count("*").alias("times"))
     rows = materialize(rows, "rows-of-groups")
     least = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("least"))
-    rows = rows.join(least, "root").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "times", (F.struct("id", "th") == F.col("least")).alias("stays"))
-    row = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
-    kept = docs.join(rows.where("not stays").select("_id", "_th"), row, "left_anti")
-    twice = rows.where("stays and times > 1").select("_id", "_th")
+    rows = rows.join(least, "root").select(F.col("id").alias("__id"), F.col("th").alias("__th"), "times", (F.struct("id", "th") == F.col("least")).alias("stays"))
+    odd = materialize(rows.where("not stays or times > 1"), "rows-to-go")
+    shared = spark.sparkContext.broadcast(bloom.build(odd.select(F.xxhash64("__id", "__th").alias("h"))))  # of fixed size at most
+    hit = F.pandas_udf(lambda h: pd.Series(shared.value.has(h.to_numpy())), "boolean")
+    marked = docs.withColumn("__hash", F.xxhash64(text_col))
+    marked = marked.withColumn("__hit", hit(F.xxhash64(id_col, "__hash")))
+    row = (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__th"))
+    some = marked.where("__hit").join(odd.where("not stays").select("__id", "__th"), row, "left_anti")
+    twice = odd.where("stays").select("__id", "__th")
     if not twice.isEmpty():
-        one = kept.join(twice, row, "left_semi").withColumn("_th", F.xxhash64(text_col)).dropDuplicates([id_col, "_th"]).drop("_th")
-        kept = kept.join(twice, row, "left_anti").unionByName(one)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        one = some.join(twice, row, "left_semi").dropDuplicates([id_col, "__hash"])
+        some = some.join(twice, row, "left_anti").unionByName(one)
+    return marked.where("not __hit").unionByName(some).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sql(k: int = 3, num: int = 90, den: int = 100) -> str:

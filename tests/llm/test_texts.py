@@ -195,9 +195,9 @@ def test_components(spark):
     for u, v in edges:
         a, b = find(u), find(v)
         root[max(a, b)] = min(a, b)
-    got = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long"), len(edges)).collect()}
+    got = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got.get(x, x) == find(x) for x in root)
-    assert components.components(spark.createDataFrame([], "u long, v long"), 0).count() == 0
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 # quality
