@@ -4,10 +4,12 @@ A document's set holds the 64-bit hashes of its distinct ``k``-word shingles. Tw
 sets of sizes a and c with a Jaccard similarity of at least num / den differ in at
 most t = (a + c)(den - num) / (den + num) elements.
 
-*Sketch.* For a band of sizes, elements are dealt to p chunks, and each flips one of
-the 64 bits of its chunk. An element of only one set flips one bit of one chunk, so
-the Hamming distance of two sketches is a lower bound of the sets' difference, and
-at most t of the p chunks of a linked pair differ.
+*Sketches.* Elements are dealt to chunks, and each flips one bit of its chunk. An element of
+only one set flips one bit of one chunk, so the Hamming distance of two sketches is a
+lower bound of the sets' difference, and at most t of the p chunks of a linked pair differ.
+For the join a chunk has 2^58 bits and is known by the XOR of the numbers of those that
+are set, so unlike sets agree in a chunk by what they share and not by chance; for distances
+sketches have about as many bits as the set has elements.
 
 *Bands.* Band g takes the sizes from R^g on and all sizes that can be linked to one
 below R^(g+1), so every linked pair meets in the band of its smaller set.
@@ -179,9 +181,21 @@ def sketch(s: np.ndarray, p: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
+def chunk_words(s: np.ndarray, p: int) -> np.ndarray:
+    """The p chunks of a sketch of 2^58 bits each, by the XOR of the numbers of the bits that each has set."""
+    at = (s % np.uint64(p)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    out = np.zeros(p, np.uint64)
+    if len(at):
+        out[at[first]] = np.bitwise_xor.reduceat(s[order], first)
+    return out
+
+
 def words_of(s: np.ndarray, g: int, p: int) -> tuple[np.ndarray, np.ndarray]:
     """The names of a set's (band, chunk, value) words, and which chunks are zero."""
-    value = sketch(s, p)
+    value = chunk_words(s, p)
     return mix(value + _ODD * (np.arange(1, p + 1, dtype=np.uint64) + np.uint64(g << 40))), value == 0
 
 
