@@ -2,7 +2,15 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``docs``.
+stage's ``docs``. All but the last return the columns of ``docs``, whatever others
+these have beside doc_id, text, source and n_chars.
+
+Rows with a null or empty text, or a null id: the classifier scores them like others and keeps
+those that it doesn't reject; the near-copy stage links them with nothing, so they stay; the
+mix counts no words in null or empty texts and so takes none of their words; packing
+gives each an end id. Repeated rows are scored, mixed and packed one by one, and one of
+them stays behind the near-copy stage. Very long texts pass whole. An empty table gives an
+empty one at every stage; without usable labels the classifier rejects nothing.
 """
 
 from __future__ import annotations

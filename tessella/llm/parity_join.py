@@ -73,23 +73,11 @@ SLOT_BITS, COUNTED, REPEATED = 21, 1 << 21, 3
 HOT, ZERO, PART = 11, 127, 1 << 21
 #: Documents and bytes of sets on each side of a block.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 24
-CACHE_WORDS = 300_000
-#: Classes that a task remembers, and bytes of texts cut at once.
-SEEN, CUT_BYTES = 500_000, 1 << 21
+#: Classes that a task remembers, bytes of texts cut at once, and bytes of a word from which its text is hashed.
+SEEN, CUT_BYTES, LONG_WORD = 500_000, 1 << 18, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """Word -> 64-bit hash."""
-
-    def __missing__(self, w: bytes) -> int:
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_words = _Words()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(33))
@@ -110,30 +98,88 @@ def _hashed(a: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
-def sets_of(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct 64-bit hashes of the ``k``-word shingles of each text, A-Z lower-cased."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes are white space, a number for each byte (A-Z as a-z, 0 for white space), and the powers of a factor and of its inverse."""
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    number = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+    number[65:91] = number[97:123]
+    number[space] = 0
+    factor = 0xD6E8FEB86659FD93
+    up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(CUT_BYTES, x, np.uint64)])) for x in (factor, pow(factor, -1, 1 << 64)))
+    return space, number, up, down
+
+
+_SPACE, _NUMBER, _UP, _DOWN = _tables()
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of at most CUT_BYTES bytes, and where they start: polynomials of the numbers of their bytes, and for long words a hash of their text."""
+    a = np.frombuffer(data, np.uint8)
+    gap = _SPACE.take(a)
+    first = ~gap
+    first[1:] &= gap[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    x = _NUMBER.take(a)
+    x *= _UP[: len(a)]
+    h = np.add.reduceat(x, starts)
+    h *= _DOWN.take(starts)
+    for k in np.flatnonzero(np.diff(starts, append=len(a)) > LONG_WORD).tolist():
+        word = data[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(a)].split()[0]
+        if len(word) > LONG_WORD:
+            h[k] = xxhash.xxh3_64_intdigest(word.lower())
+    return h, starts
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text's words, in runs of less than CUT_BYTES bytes; a word that is longer than that alone."""
+    held, size = [], 0
+    for w in text.split():
+        if size + len(w) >= CUT_BYTES and held:
+            yield b" ".join(held)
+            held, size = [], 0
+        held.append(w)
+        size += len(w) + 1
+    if held:
+        yield b" ".join(held)
+
+
+def _grouped_hashes(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """The word hashes of texts in runs of about CUT_BYTES bytes, and each text's number of words."""
     at = 0
     while at < len(texts):
-        size, to, held = 0, at, []
-        while to < len(texts) and size < CUT_BYTES:
-            held.append((texts[to] or b"").lower().split())  # of bytes: ASCII letters and white space only
-            size += len(texts[to] or b"")
-            to += 1
-        if len(_words) > CACHE_WORDS:
-            _words.clear()
-        counts = [len(w) for w in held]
-        a = np.fromiter((h for w in held for h in map(_words.__getitem__, w)), np.uint64, sum(counts))
+        if len(texts[at] or b"") >= CUT_BYTES:
+            parts = [word_hashes(p)[0] if len(p) < CUT_BYTES else np.array([xxhash.xxh3_64_intdigest(p.lower())], np.uint64) for p in _pieces(texts[at])]
+            out = np.concatenate([np.zeros(0, np.uint64), *parts])
+            yield out, [len(out)]
+            at += 1
+            continue
+        held, size, ends = [], 0, []
+        while at < len(texts) and size + len(texts[at] or b"") < CUT_BYTES:
+            held.append(texts[at] or b"")
+            size += len(held[-1]) + 1
+            ends.append(size)
+            at += 1
+        h, starts = word_hashes(b" ".join(held))
+        yield h, np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
+
+
+def sets_of(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit hashes of the ``k``-word shingles of each text, A-Z lower-cased."""
+    for a, counts in _grouped_hashes(texts):
         acc = _hashed(a, k) if len(a) >= k else a
         start = 0
         for n in counts:
             if n >= k:
                 s = acc[start : start + n - k + 1].copy()
                 s.sort()
-                yield s[np.flatnonzero(np.append(True, s[1:] != s[:-1]))] if len(s) > 1 else s
+                new = s[1:] != s[:-1]
+                yield s if new.all() else s[np.flatnonzero(np.append(True, new))]
             else:
                 yield _hashed(a[start : start + n], n) if n else np.zeros(0, np.uint64)
             start += n
-        at = to
 
 
 class Bands:
@@ -181,34 +227,44 @@ def sketch(s: np.ndarray, p: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def chunk_words(s: np.ndarray, p: int) -> np.ndarray:
-    """The p chunks of a sketch of 2^58 bits each, by the XOR of the numbers of the bits that each has set."""
-    at = (s % np.uint64(p)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
-    out = np.zeros(p, np.uint64)
-    if len(at):
-        out[at[first]] = np.bitwise_xor.reduceat(s[order], first)
-    return out
-
-
-def words_of(s: np.ndarray, g: int, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """The names of a set's (band, chunk, value) words, and which chunks are zero."""
-    value = chunk_words(s, p)
-    return mix(value + _ODD * (np.arange(1, p + 1, dtype=np.uint64) + np.uint64(g << 40))), value == 0
-
+def words_of(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """The names of the (band, chunk, value) words of sets, which chunks are zero, and (set, first place, chunks, keys to list) of each set and band.
 
-def keys(s: np.ndarray, bands: Bands, levels: np.ndarray) -> list[np.ndarray]:
-    """The join keys of a set, band by band: the first words in the order of (level, name)."""
-    out = []
-    for g, p, n in bands.of(len(s)):
-        name, zero = words_of(s, g, p)
-        level = levels[(name >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        level[zero] = ZERO
-        key = (level.astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
-        out.append(np.partition(key, n - 1)[:n] if n < p else key)
-    return out
+    A chunk's value is the XOR of the numbers of the bits that it has set, of 2^58.
+    """
+    plan, at = [], 0
+    for i, s in enumerate(sets):
+        for g, p, n in bands.of(len(s)):
+            plan.append((i, at, p, n, g))
+            at += p
+    if not plan:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), []
+    lengths = np.array([len(sets[x[0]]) for x in plan])
+    s = np.concatenate([sets[x[0]] for x in plan])
+    place = s >> np.uint64(32)
+    place *= np.repeat(np.array([x[2] for x in plan], np.uint64), lengths)
+    place >>= np.uint64(32)
+    place += np.repeat(np.array([x[1] for x in plan], np.uint64), lengths)
+    value = np.zeros(at, np.uint64)
+    np.bitwise_xor.at(value, place.view(np.int64), s)
+    chunks = np.array([x[2] for x in plan])
+    number = np.arange(1, at + 1, dtype=np.uint64) - np.repeat(np.array([x[1] for x in plan], np.uint64), chunks)
+    number += np.repeat(np.array([x[4] << 40 for x in plan], np.uint64), chunks)
+    return mix(value + _ODD * number), value == 0, [x[:4] for x in plan]
+
+
+def keys(sets: list[np.ndarray], bands: Bands, levels: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """The join keys of sets, band by band: the first words in the order of (level, name); and how many each set has."""
+    name, zero, plan = words_of(sets, bands)
+    level = levels.take((name >> np.uint64(64 - SLOT_BITS)).view(np.int64))
+    level[zero] = ZERO
+    key = (level.astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
+    out, counts = [], [0] * len(sets)
+    for i, at, p, n in plan:
+        own = key[at : at + p]
+        out.append(np.partition(own, n - 1)[:n] if n < p else own)
+        counts[i] += len(out[-1])
+    return out, counts
 
 
 def plain(s: np.ndarray) -> np.ndarray:
@@ -251,15 +307,16 @@ CLASS_ROWS = "th long, n long, node long, more long, bits binary, slot int, time
 def _class_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document, and rows (slot, times) of the words that repeat among a task's classes."""
     names = [x.split()[0] for x in CLASS_ROWS.split(", ")]
-    seen, held, size, kind = _Seen(), [], 0, None
+    seen, held, size, kind, new, elements = _Seen(), [], 0, None, [], 0
 
     def counted():
-        nonlocal held, size
-        name, n = np.unique(np.concatenate(held), return_counts=True)
+        nonlocal held, size, new, elements
+        name, zero, _ = words_of(new, bands)
+        name, n = np.unique(np.concatenate([*held, name[~zero]]), return_counts=True)
         some = n >= REPEATED
         slot, at = np.unique(name[some] >> np.uint64(64 - SLOT_BITS), return_inverse=True)
         times = np.bincount(at, n[some], minlength=len(slot)).astype(np.int64)
-        held, size = [], 0
+        held, size, new, elements = [], 0, [], 0
         nulls = [pa.nulls(len(slot), t) for t in (kind, *[pa.int64()] * 4, pa.binary())]
         return pa.RecordBatch.from_arrays([*nulls, pa.array(slot.astype(np.int32)), pa.array(times)], names=["id", *names])
 
@@ -274,10 +331,12 @@ def _class_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> I
             more.append(rest)
             bits.append(plain(s).tobytes() if some else None)
             if some and seen.new(node):
-                for g, p, _ in bands.of(len(s)):
-                    name, zero = words_of(s, g, p)
+                new.append(s)
+                elements += len(s)
+                if elements > CUT_BYTES >> 2:
+                    name, zero, _ = words_of(new, bands)
                     held.append(name[~zero])
-                    size += p
+                    size, new, elements = size + len(held[-1]), [], 0
                 if size > COUNTED:
                     yield counted()
         rows = len(sizes)
@@ -285,7 +344,7 @@ def _class_batches(k: int, bands: Bands, batches: Iterator[pa.RecordBatch]) -> I
             [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(more, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())],
             names=["id", *names],
         )
-    if held:
+    if held or new:
         yield counted()
 
 
@@ -293,22 +352,21 @@ def _key_batches(k: int, bands: Bands, shared, batches: Iterator[pa.RecordBatch]
     """Rows (key, node). A task lists the keys of equal sets once."""
     seen, levels = _Seen(), shared.value
     for batch in batches:
-        lists, nodes, lengths, size = [], [], [], 0
+        sets, nodes, size = [], [], 0
 
         def out():
-            which = np.repeat(np.array(nodes, np.int64), lengths)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(which)], names=["key", "node"])
+            lists, counts = keys(sets, bands, levels)
+            key = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+            return _longs(["key", "node"], key.view(np.int64), np.repeat(np.array(nodes, np.int64), counts))
 
         for s in sets_of(batch.column(0).to_pylist(), k):
             if len(s) and bands.of(len(s)) and seen.new(node := digest(s)[0]):
-                own = keys(s, bands, levels)
-                lists += own
+                sets.append(s)
                 nodes.append(node)
-                lengths.append(sum(map(len, own)))
-                size += lengths[-1]
-                if size > 1 << 19:
+                size += len(s)
+                if size > CUT_BYTES >> 2:
                     yield out()
-                    lists, nodes, lengths, size = [], [], [], 0
+                    sets, nodes, size = [], [], 0
         if nodes:
             yield out()
 

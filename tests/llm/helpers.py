@@ -9,10 +9,11 @@ TEXTS = [
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, length long, ids string"
 
 
-def documents(spark, texts=None, copies=1):
-    """Rows with clashing extra columns; a null source, lang and n_chars here and there, and a null id last."""
+def documents(spark, texts=None, copies=1, nameless=0):
+    """Rows with clashing extra columns, and a null source, lang and n_chars here and there; ``nameless`` rows with a null id come last."""
     texts = TEXTS if texts is None else texts
     rows = [(i, t, "en" if i % 3 else None, f"src{i % 3}" if i % 4 else None, None if t is None else len(t), 0.5, i, "z") for k in range(copies) for i, t in enumerate(texts)]
+    rows += [(None, "a text without an id", "en", "src1", 20, 0.5, 0, "z")] * nameless
     return spark.createDataFrame(rows, DOCS)
 
 

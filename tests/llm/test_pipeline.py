@@ -2,7 +2,9 @@ import random
 
 import corpus_pipeline
 
-from .helpers import documents, write
+import pytest
+
+from .helpers import TEXTS, documents, none, write
 
 from tessella.llm import mixing, quality
 
@@ -33,3 +35,27 @@ def test_stages_keep_their_columns_and_take_effect(spark, tmp_path):
     assert len(packed) == df.count()
     assert len(corpus_pipeline.run(spark, folder).collect()) == len(packed)
     assert quality.fit(docs, labels) is not None
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty", "null_ids"])
+def test_stages_stand_odd_tables(spark, tmp_path, kind):
+    """Null and empty and very long texts, repeated rows, null ids, clashing columns, no rows at all."""
+    docs = {"odd": lambda: documents(spark, copies=2), "empty": lambda: none(spark), "null_ids": lambda: documents(spark).selectExpr("cast(null as long) AS doc_id", "text", "lang", "source", "n_chars", "score", "length", "ids")}[kind]()
+    write(docs, tmp_path)
+    write(spark.createDataFrame([(i, i % 2, 0) for i in range(8)] + [(None, 1, 0)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    df, stages = docs, dict(corpus_pipeline.STAGES)
+    scored = stages["quality classifier"](spark, df, str(tmp_path))
+    assert scored.columns == df.columns and scored.count() <= df.count()
+    near = stages["n-gram Jaccard join"](spark, df, str(tmp_path))
+    kept = near.collect()
+    assert near.columns == df.columns
+    if kind == "odd":
+        # One row of each text with words (two texts differ in case alone), and all rows without words.
+        blank = [t for t in TEXTS if not (t or "").split()]
+        assert len(kept) == 2 * len(blank) + len({t.lower().strip() for t in TEXTS if (t or "").split()})
+    if kind == "null_ids":
+        assert len(kept) == len(TEXTS)
+    mixed = stages["mixing sources"](spark, df, str(tmp_path))
+    assert mixed.columns == df.columns and mixed.count() <= 2 * df.count()
+    packed = stages["best-fit packing"](spark, df, str(tmp_path)).collect()
+    assert len(packed) >= df.count() and all(0 <= r.offset <= 4096 - r.length for r in packed)
