@@ -6,6 +6,10 @@ their summed squared distances, with a heap over the grid of both sorted lists,
 the cells it passed hold ``share`` of all entries (and 10 k at least). All entries of
 those cells are reranked by exact Euclidean distance in double precision.
 
+*Share.* Unless given, it is measured: ``PROBES`` rows of the fit's sample walk the cells of
+that sample, and the share is the least with which they find ``RECALL`` of their k nearest rows in it. A
+sample's neighbours lie further off than the whole table's, so this errs upwards.
+
 *Fit.* k-means in numpy on the ``sample`` rows with the least hashes (default 8192; at
 most that many vectors come to the driver). *Index.* Every row. The centroids and the
 entries a cell are of fixed size (2 x cells centroids, cells^2 counts) and are
@@ -14,14 +18,13 @@ first centroid once, with a bit for each second centroid, so a hot cell is just
 blocks. Blocks meet query blocks by a join that Spark may split, and each task keeps
 the k best a query.
 
-``share`` is a share because recall depends on it: for data without clusters (random
-directions) nearest neighbours lie in far cells too. The default reaches a recall
-above 0.9 there; clustered data need far less.
+Data without clusters (random directions) need about half of the entries, since their
+neighbours lie in far cells too; clustered data need far fewer, and get fewer.
 
-Null vectors, other lengths than the most frequent one, null or non-finite components,
-zero vectors and null ids take no part. Equal rows are one; a repeated id with another
-vector is a candidate of its own, and never one of its own id's queries. Ties go to
-the smaller id. Only the named columns are read.
+Vectors of another length than ``dim`` (by default the table's most frequent one), null
+vectors, null or non-finite components, zero vectors and null ids take no part. Every row
+is a candidate, repeated ones too, but for those with the query's id; equal query rows are
+one query. Ties go to the smaller id. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from tessella.runtime import materialize
 #: Centroids of a half (at most 64: a query's second centroids are the bits of a long).
 CELLS = 64
 ENTRIES, QUERIES = 1024, 512
+#: Rows of the sample that measure the share, and the recall that they have to reach.
+PROBES, RECALL = 256, 0.95
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -79,6 +84,22 @@ def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, want: int) -> lis
     return out
 
 
+def measured_share(x: np.ndarray, codes: tuple[np.ndarray, np.ndarray], k: int) -> float:
+    """The least share of the entries to pass, in walking order, for RECALL of the k nearest rows of a sample; 1 for a sample of few rows."""
+    if len(x) < 50 * k:
+        return 1.0
+    half = x.shape[1] // 2
+    i, j = nearest(x[:, :half], codes[0]), nearest(x[:, half:], codes[1])
+    needed = []
+    for q in range(0, len(x), -(-len(x) // PROBES)):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        best_ = np.argpartition(far, k)[:k]
+        cell = ((codes[0] - x[q, :half]) ** 2).sum(axis=1)[i] + ((codes[1] - x[q, half:]) ** 2).sum(axis=1)[j]
+        needed.append((cell[None, :] <= cell[best_][:, None]).mean(axis=1))
+    return float(np.quantile(np.concatenate(needed), RECALL))
+
+
 def _entry_batches(dim: int, codes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one, two = codes.value
     half = dim // 2
@@ -128,17 +149,19 @@ def _rerank_batches(k: int, dim: int, batches: Iterator[pa.RecordBatch]) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["qid", "id", "score"])
 
 
-def nearest_rows(vectors: DataFrame, k: int = 10, query_mod: int = 100, share: float = 0.5, sample: int = 8192, cells: int = CELLS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest_rows(vectors: DataFrame, k: int = 10, query_mod: int = 100, share: float | None = None, sample: int = 8192, cells: int = CELLS, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest candidates found for each query (ids divisible by ``query_mod``)."""
     if not 1 <= cells <= 64:
         raise ValueError("1 to 64 centroids a half")
-    spark, dim = vectors.sparkSession, dimension(vectors, vec_col)
+    spark, dim = vectors.sparkSession, dimension(vectors, vec_col) if dim is None else dim
     rows = usable(vectors, id_col, vec_col, dim).where(F.exists("v", lambda x: x != 0))
     rows = materialize(rows, "vectors")
     some = rows.orderBy(F.xxhash64("id", "v")).limit(sample).collect()
     half = dim // 2
     x = np.array([r.v for r in some], np.float64).reshape(len(some), dim)
-    codes = spark.sparkContext.broadcast(tuple(k_means(x[:, a:b], cells) if len(x) else np.zeros((1, b - a)) for a, b in ((0, half), (half, dim))))
+    made = tuple(k_means(x[:, a:b], cells) if len(x) else np.zeros((1, b - a)) for a, b in ((0, half), (half, dim)))
+    share = measured_share(x, made, k) if share is None else share
+    codes = spark.sparkContext.broadcast(made)
     entries = materialize(rows.mapInArrow(partial(_entry_batches, dim, codes), "id long, i int, j int, data binary").withColumn("uid", F.monotonically_increasing_id()), "entries")
 
     grid = np.zeros((64, 64), np.int64)
@@ -152,7 +175,7 @@ def nearest_rows(vectors: DataFrame, k: int = 10, query_mod: int = 100, share: f
     width = {i: max(1, -(-int(n) // ENTRIES)) for i, n in enumerate(grid.sum(axis=1))}
     of = F.element_at(F.array(*[F.lit(width[i]) for i in range(64)]), F.col("i") + 1)
     blocks = entries.withColumn("block", F.pmod(F.xxhash64("uid"), of)).groupBy("i", "block").agg(F.collect_list(F.struct("id", "j", "data")).alias("entries"))
-    asked = entries.where(F.col("id") % query_mod == 0).select(F.col("uid").alias("qid"), "id", "data")
+    asked = entries.where(F.col("id") % query_mod == 0).groupBy("id", "data").agg(F.min("uid").alias("qid")).select("qid", "id", "data")
     n_asked = asked.count()
     routed = asked.repartition(max(1, -(-n_asked // 64))).mapInArrow(partial(_route_batches, dim, codes, counts, want), "i int, qid long, id long, mask long, data binary")
     per = max(1, -(-n_asked // QUERIES))

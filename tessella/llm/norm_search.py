@@ -13,15 +13,16 @@ What is left is verified by its integer products. Scores are exact: products run
 floating point only where |q| |v| stays below the type's exact integers, else in
 Python integers (a score beyond 64 bits is cut to their range).
 
-Queries are dealt in blocks and buckets in runs; a task has one block and one run, so
-its memory is fixed. All blocks first meet the run of the longest vectors, and what
-they find there is where the pruning of all other runs starts. The k best of each
-query are then found from the runs' lists.
-
-Null vectors, other lengths than the most frequent one, null or non-finite
-components and null ids take no part. Equal rows are one; a repeated id with another
-vector is a candidate of its own, and never one of its own id's queries. Ties go to
-the smaller id. Only the named columns are read.
+Queries are dealt in blocks and slices of blocks, buckets in runs; a group of a task has one slice and
+one run, each shipped once, so its memory is fixed. All slices first meet the run of the
+longest vectors. What they find there decides on lengths alone which other runs a block
+has to meet, before anything is shipped, and is where their pruning starts. The k best
+of each query are then found from the runs' lists.
+
+Vectors of another length than ``dim`` (by default the table's most frequent one), null
+vectors, null or non-finite components and null ids take no part. Every row is a
+candidate, repeated ones too, but for those with the query's id; equal query rows are one
+query. Ties go to the smaller id. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tessella.llm.vectors import best, blocks, dimension, matrix, unpack, usable
 from tessella.runtime import materialize
 
-BUCKET, RUN, QUERIES = 1024, 16, 512
+BUCKET, RUN, QUERIES, SLICE = 1024, 16, 512, 32
 #: Local cosine thresholds from which coordinates prune, and how many coordinates are looked at.
 COORDINATES_FROM, FOCUS = 0.8, 4
 _BLOCK = "dim int, n int, longest double, ids binary, norms binary, data binary"
@@ -163,55 +164,69 @@ class Searcher:
             self._keep(np.array([i]), which, products(self.q[i : i + 1], b, which, float(self.norms[i] * b.norms[0])), b)
 
 
-def _search_batches(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: qid, dim, q_ids, q_norms, q_data, floor, run (structs of buckets)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            dim, ids = row["dim"], np.frombuffer(row["q_ids"], np.int64)
-            floor = np.frombuffer(row["floor"], np.float64).copy() if row["floor"] else np.full(len(ids), -np.inf)
-            s = Searcher(ids, np.frombuffer(row["q_norms"], np.float64), unpack(row["q_data"], "<i8", dim), k, floor)
-            for b in sorted(row["buckets"], key=lambda b: -b["longest"]):
-                s.visit(Bucket(b["ids"], b["norms"], b["data"], dim))
-            scores = [int(x) for x in s.scores]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["qid"]], pa.int64()), pa.array([s.rows.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([s.found.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([scores], pa.list_(pa.int64())), pa.array([s.floor.tobytes()], pa.binary())],
-                names=["qid", "rows", "found", "scores", "floor"],
-            )
-
-
-def top_products(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+FOUND = "qid long, rows array<long>, found array<long>, scores array<long>, floor binary, need double"
+
+
+def _search(k: int, runs: pa.Table, asked: pa.Table) -> pa.Table:
+    """A run (structs of buckets) and a slice's query blocks -> what each block finds, its floors, and the length from which vectors can matter to it."""
+    out: list[dict] = []
+    rows = asked.to_pylist()
+    found = [b for r in runs.to_pylist() for b in r["buckets"]]
+    buckets = [Bucket(b["ids"], b["norms"], b["data"], rows[0]["dim"]) for b in sorted(found, key=lambda b: -b["longest"])] if rows else []
+    for row in rows:
+        ids = np.frombuffer(row["q_ids"], np.int64)
+        floor = np.frombuffer(row["floor"], np.float64).copy() if row["floor"] else np.full(len(ids), -np.inf)
+        s = Searcher(ids, np.frombuffer(row["q_norms"], np.float64), unpack(row["q_data"], "<i8", row["dim"]), k, floor)
+        for b in buckets:
+            s.visit(b)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = float(np.where(s.norms > 0, s.floor / s.norms, -np.inf).min())
+        out.append({"qid": row["qid"], "rows": s.rows.astype(np.int64).tolist(), "found": s.found.astype(np.int64).tolist(), "scores": [int(x) for x in s.scores], "floor": s.floor.tobytes(), "need": need})
+    types = (pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.float64())
+    names = ("qid", "rows", "found", "scores", "floor", "need")
+    return pa.table([pa.array([r[n] for r in out], t) for n, t in zip(names, types, strict=True)], names=list(names))
+
+
+def _meet(queries: DataFrame, groups: DataFrame, slices: int, k: int) -> DataFrame:
+    """Query blocks (with the ``run`` to meet and their ``floor``) against runs: a group a run and slice."""
+    asked = queries.withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices)))
+    wanted = asked.select(F.col("run").alias("of_run"), F.col("slice").alias("of_slice")).distinct()
+    there = groups.join(wanted, F.col("run") == F.col("of_run")).select("of_run", "of_slice", "buckets")
+    return there.groupBy("of_run", "of_slice").cogroup(asked.groupBy("run", "slice")).applyInArrow(lambda a, b: _search(k, a, b), FOUND)
+
+
+def top_products(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k best candidates of each query (ids divisible by ``query_mod``)."""
-    dim = dimension(vectors, vec_col)
-    rows = materialize(usable(vectors, id_col, vec_col, dim).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x * scale), F.lit(2.0)))), "vectors")
-    count = rows.count()
-    parts = max(1, -(-count // (BUCKET * RUN)))
+    dim = dimension(vectors, vec_col) if dim is None else dim
+    rows = usable(vectors, id_col, vec_col, dim).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x * scale), F.lit(2.0))))
+    rows = materialize(rows, "vectors")
+    parts = max(1, -(-rows.count() // (BUCKET * RUN)))
     long = rows.repartitionByRange(parts, F.desc("norm"), F.col("id")).sortWithinPartitions(F.desc("norm"), "id").select("id", "v")
     buckets = long.mapInArrow(partial(_block_batches, dim, scale, BUCKET), _BLOCK)
     buckets = materialize(buckets.withColumn("bid", F.monotonically_increasing_id()), "buckets")
     # Buckets rank by length; a run is RUN of them. A row a bucket: a thousandth of the vectors.
     order = Window.orderBy(F.desc("longest"), "bid")
-    runs = materialize(buckets.select("bid", "longest").withColumn("run", F.floor((F.row_number().over(order) - 1) / RUN)).drop("longest"), "runs")
-    groups = buckets.join(runs, "bid").groupBy("run").agg(F.collect_list(F.struct("longest", "ids", "norms", "data")).alias("buckets"), F.max("longest").alias("longest"))
+    runs = materialize(buckets.select("bid", "longest").withColumn("run", F.floor((F.row_number().over(order) - 1) / RUN)), "runs")
+    groups = buckets.drop("longest").join(runs, "bid").groupBy("run").agg(F.collect_list(F.struct("longest", "ids", "norms", "data")).alias("buckets"))
     groups = materialize(groups, "groups")
 
-    asked = rows.where(F.col("id") % query_mod == 0).select("id", "v")
+    asked = rows.where(F.col("id") % query_mod == 0).select("id", "v").dropDuplicates(["id", "v"])
     blocks_ = max(1, -(-asked.count() // QUERIES))
+    slices = -(-blocks_ // SLICE)
     queries = asked.repartition(blocks_).mapInArrow(partial(_block_batches, dim, scale, QUERIES), _BLOCK)
-    queries = materialize(queries.select(F.monotonically_increasing_id().alias("qid"), "dim", F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("norms").alias("q_norms"), F.col("data").alias("q_data")), "queries")
-
-    found = "qid long, rows array<long>, found array<long>, scores array<long>, floor binary"
-    search = partial(_search_batches, k)
-    shape = ["qid", "dim", "q_ids", "q_norms", "q_data", "floor", "buckets"]
-    first = queries.withColumn("run", F.lit(0).cast("long")).withColumn("floor", F.lit(None).cast("binary")).join(groups, "run").select(*shape)
-    first = materialize(first.repartition(blocks_).mapInArrow(search, found), "first")
-    n_runs = runs.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0] + 1
+    queries = materialize(queries.select(F.monotonically_increasing_id().alias("qid"), "dim", F.col("ids").alias("q_ids"), F.col("norms").alias("q_norms"), F.col("data").alias("q_data")), "queries")
+
+    first = queries.withColumns({"run": F.lit(0).cast("long"), "floor": F.lit(None).cast("binary")})
+    first = materialize(_meet(first, groups, slices, k), "first")
+    # The longest length of each run, in order: eight bytes for sixteen thousand vectors.
+    longest = [r.longest for r in runs.groupBy("run").agg(F.max("longest").alias("longest")).orderBy("run").collect()]
     lists = first.select("qid", "rows", "found", "scores")
-    if n_runs > 1:
-        # Each block meets each other run once: a stated query set against all rows, in blocks.
-        others = queries.join(first.select("qid", "floor"), "qid").withColumn("run", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_runs - 1).cast("long"))))
-        others = others.join(groups.where("run > 0"), "run").select(*shape)
-        rest = others.repartition(max(1, min(blocks_ * (n_runs - 1), 4096))).mapInArrow(search, found)
-        lists = lists.unionByName(rest.select("qid", "rows", "found", "scores"))
+    if len(longest) > 1:
+        reach = queries.sparkSession.createDataFrame([(longest[1:],)], "longest array<double>")
+        wanted = F.explode(F.slice(F.sequence(F.lit(1).cast("long"), F.lit(len(longest) - 1).cast("long")), F.lit(1), F.size(F.filter("longest", lambda x: x * (1 + 1e-9) >= F.col("need")))))
+        others = queries.join(first.select("qid", "floor", "need"), "qid").crossJoin(F.broadcast(reach))  # one row
+        others = others.withColumn("run", wanted).drop("longest", "need")
+        lists = lists.unionByName(_meet(others, groups, slices, k).select("qid", "rows", "found", "scores"))
     each = lists.select("qid", F.explode(F.arrays_zip("rows", "found", "scores")).alias("x")).select("qid", "x.rows", "x.found", "x.scores")
     place = Window.partitionBy("qid", "rows").orderBy(F.desc("scores"), "found")
     top = each.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
@@ -227,9 +242,9 @@ def _name_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) = 64),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0),
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id != c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""

@@ -18,11 +18,10 @@ def dimension(vectors: DataFrame, vec_col: str) -> int:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """``id`` (long) and ``v`` (array<double>) of rows with an id and ``dim`` finite components; equal rows are one."""
+    """``id`` (long) and ``v`` (array<double>) of rows with an id and ``dim`` finite components."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("v") == dim) & ~odd)
-    return rows.dropDuplicates(["id", "v"])
+    return rows.where(F.col("id").isNotNull() & (F.size("v") == dim) & ~odd)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

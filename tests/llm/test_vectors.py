@@ -72,10 +72,24 @@ def test_huge_components_stay_exact(spark):
     assert got == [(i, max(-limit - 1, min(limit, s))) for i, s in want]
 
 
-def test_repeated_rows_are_one(spark):
+def test_repeated_rows_are_candidates_and_one_query(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.0])]
-    assert [(r.vec_id, r["rank"]) for r in norm_search.top_products(table(spark, rows), k=5).orderBy("rank").collect()] == [(1, 1), (2, 2)]
-    assert [(r.vec_id, r["rank"]) for r in multi_index.nearest_rows(table(spark, rows), k=5).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+    assert [(r.vec_id, r["rank"]) for r in norm_search.top_products(table(spark, rows), k=5).orderBy("rank").collect()] == [(1, 1), (1, 2), (2, 3)]
+    assert [(r.vec_id, r["rank"]) for r in multi_index.nearest_rows(table(spark, rows), k=5).orderBy("rank").collect()] == [(2, 1), (1, 2), (1, 3)]
+
+
+def test_a_given_length_wins_over_the_most_frequent(spark):
+    rows = [(0, [1.0]), (20, [2.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (40, [3.0, 0.0])]
+    assert {r.query_id for r in norm_search.top_products(table(spark, rows), k=5, dim=1).collect()} == {0, 20}
+    assert {r.query_id for r in norm_search.top_products(table(spark, rows), k=5).collect()} == {40}
+
+
+def test_clustered_data_rerank_little():
+    rng = np.random.default_rng(2)
+    for spread, low, high in ((0.02, 0.0, 0.1), (50.0, 0.05, 1.0)):
+        x = rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + spread * rng.normal(size=(4000, 16))
+        codes = tuple(multi_index.k_means(x[:, a:b], 64) for a, b in ((0, 8), (8, 16)))
+        assert low <= multi_index.measured_share(x, codes, 10) <= high
 
 
 def test_walk_is_in_order():
