@@ -27,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,19 @@ _CLASSES = (
     b".,;:?", b"'\"()-", b" ", b"\n", b"\t\r", bytes(range(128, 256)),
 )
 N_STATS = len(_CLASSES) + 7
-_slots: dict[bytes, int] = {}
+#: Column k counts the bytes of class k.
+_OF_CLASS = np.array([[b in c for c in _CLASSES] for b in range(256)], np.int64)
+
+
+class _Slots(dict):
+    """Word -> slot."""
+
+    def __missing__(self, w: bytes) -> int:
+        s = self[w] = xxhash.xxh3_64_intdigest(w) & SLOTS - 1
+        return s
+
+
+_slots = _Slots()
 
 
 def _bin(x: float) -> int:
@@ -52,23 +65,15 @@ def _log_bin(x: float) -> int:
 
 def features(data: bytes, meta: list[float | None]) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a document."""
-    import xxhash
-
     words = data.split()
     if len(_slots) > CACHE_WORDS:
         _slots.clear()
-    known, ids = _slots, []
-    for w in words:
-        s = known.get(w)
-        if s is None:
-            s = known[w] = xxhash.xxh3_64_intdigest(w) & SLOTS - 1
-        ids.append(s)
-    a = np.array(ids, np.int64)
+    a = np.fromiter(map(_slots.__getitem__, words), np.int64, len(words))
     slots, counts = np.unique(a, return_counts=True)
     values = 1 + np.log(counts)
     values /= math.sqrt(float((values**2).sum()) or 1.0)
     n, m = len(data) or 1, len(words) or 1
-    bins = [_bin((len(data) - len(data.translate(None, c))) / n) for c in _CLASSES]
+    bins = [_bin(x / n) for x in (np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _OF_CLASS).tolist()]
     again = int((a[1:] == a[:-1]).sum()) / m if len(a) > 1 else 0.0
     bins += [_bin(again), _bin(len(slots) / m), _bin(float(counts.max()) / m if len(counts) else 0.0)]
     bins += [_log_bin(n * 4 / m), _log_bin(m), _log_bin(n * 2 / (data.count(b"\n") + 1)), _bin(len({data[i : i + 32] for i in range(0, len(data), 32)}) * 32 / (n + 32))]
@@ -93,36 +98,36 @@ class Machine:
         linear = np.add.reduceat(self.w[slots] * values, starts)
         return self.w0 + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
-    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.3, decay: float = 1e-4) -> None:
-        """Small samples are gone through more often, for about as many steps as 1000 batches make."""
-        epochs = max(epochs, min(10 * epochs, 1000 * batch // max(1, len(docs))))
+    def fit(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 750, batch: int = 128, rate: float = 0.3, decay: float = 1e-4) -> None:
+        """As many steps for a small sample as for a large one; the sample is gone through in ever new orders."""
         share = float(np.clip(labels.mean(), 0.01, 0.99))
         self.w0 = math.log(share / (1 - share))
         g0, gw, gv = 1.0, np.full(self.w.shape, 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32)
-        for _ in range(epochs):
-            order = self.rng.permutation(len(docs))
-            for at in range(0, len(order), batch):
-                some = order[at : at + batch]
-                lengths = np.array([len(docs[i][0]) for i in some])
-                slots, values = (np.concatenate([docs[i][k] for i in some]) for k in (0, 1))
-                starts = np.cumsum(lengths) - lengths
-                y, sums = self.margins(slots, values, starts)
-                err = (1 / (1 + np.exp(-y)) - labels[some]).astype(np.float32) / len(some)
-                of = np.repeat(np.arange(len(some)), lengths)
-                each = err[of] * values
-                vx = self.v[slots] * values[:, None]
-                dv = each[:, None] * (sums[of] - vx)
-                sort = np.argsort(slots, kind="stable")
-                used, first = np.unique(slots[sort], return_index=True)
-                dw = np.add.reduceat(each[sort], first) + decay * self.w[used]
-                dv = np.add.reduceat(dv[sort], first, axis=0) + decay * self.v[used]
-                gw[used] += dw * dw
-                gv[used] += dv * dv
-                self.w[used] -= rate * dw / np.sqrt(gw[used])
-                self.v[used] -= rate * dv / np.sqrt(gv[used])
-                d0 = float(err.sum())
-                g0 += d0 * d0
-                self.w0 -= rate * d0 / math.sqrt(g0)
+        order, at = self.rng.permutation(len(docs)), 0
+        for _ in range(steps):
+            if at >= len(order):
+                order, at = self.rng.permutation(len(docs)), 0
+            some, at = order[at : at + batch], at + batch
+            lengths = np.array([len(docs[i][0]) for i in some])
+            slots, values = (np.concatenate([docs[i][k] for i in some]) for k in (0, 1))
+            starts = np.cumsum(lengths) - lengths
+            y, sums = self.margins(slots, values, starts)
+            err = (1 / (1 + np.exp(-y)) - labels[some]).astype(np.float32) / len(some)
+            of = np.repeat(np.arange(len(some)), lengths)
+            each = err[of] * values
+            vx = self.v[slots] * values[:, None]
+            dv = each[:, None] * (sums[of] - vx)
+            sort = np.argsort(slots, kind="stable")
+            used, first = np.unique(slots[sort], return_index=True)
+            dw = np.add.reduceat(each[sort], first) + decay * self.w[used]
+            dv = np.add.reduceat(dv[sort], first, axis=0) + decay * self.v[used]
+            gw[used] += dw * dw
+            gv[used] += dv * dv
+            self.w[used] -= rate * dw / np.sqrt(gw[used])
+            self.v[used] -= rate * dv / np.sqrt(gv[used])
+            d0 = float(err.sum())
+            g0 += d0 * d0
+            self.w0 -= rate * d0 / math.sqrt(g0)
 
 
 def _feature_rows(batch: pa.RecordBatch, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
