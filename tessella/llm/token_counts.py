@@ -1,10 +1,12 @@
 """Token counts by the whole-token shortcut.
 
-Offline, every vocabulary string is proved or refuted as a *whole token*: it is
+Offline (once, before the job; the proved strings are broadcast, fewer than the
+vocabulary has), every vocabulary string is proved or refuted as a *whole token*: it is
 one pre-token of the split pattern and the library encodes it alone as its own
 id. A text is then counted by pre-tokens: one that is a proved string counts 1
 without any merging, and only the rest is merged by the library (each distinct
-one once per worker and cache filling).
+one once per worker and cache filling). Runs of plain letters with marks behind them are
+two pre-tokens by their form and need no split pattern.
 
 Null and empty texts count 0 tokens and 0 bytes. Repeated rows and ids are
 counted one by one; columns other than the two named ones are not read.
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.tokens import _SPACED, CACHE_UNITS, Vocabulary, byte_letters, strings
+from tessella.llm.tokens import _LETTERS, _SPACED, CACHE_UNITS, Vocabulary, byte_letters, strings
 
 #: The split pattern of byte-level vocabularies, a fixed value of their file format.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -51,16 +53,15 @@ class _Counts(dict):
         self.counter, self.lead = counter, lead
 
     def __missing__(self, unit: str) -> int:
-        n = self.counter.count_unit(self.lead + unit)
+        n = self.counter.count_unit(self.lead, unit)
         if len(self) < CACHE_UNITS:
             self[unit] = n
         return n
 
 
 class Counter:
-    def __init__(self, vocabulary: Vocabulary):
-        self.encoder = vocabulary.encoder()
-        self.one = whole_tokens(self.encoder.library)
+    def __init__(self, vocabulary: Vocabulary, one: frozenset[str]):
+        self.encoder, self.one = vocabulary.encoder(), one
         self.merged: dict[str, int] = {}
         self.units, self.firsts = _Counts(self, " "), _Counts(self, "")
 
@@ -72,10 +73,16 @@ class Counter:
                 self.merged[pre] = n
         return n
 
-    def count_unit(self, unit: str) -> int:
+    def count_unit(self, lead: str, unit: str) -> int:
+        found, one = _LETTERS(unit), self.one
+        if found:
+            core, tail = found.groups()
+            n = 1 if lead + core in one else len(self.encoder.letters(lead, core))
+            return n + (0 if not tail else 1 if tail in one else self.merge(tail))
+        unit = lead + unit
         if not _KNOWN.match(unit):
             return self.merge(unit)
-        one, merge = self.one, self.merge
+        merge = self.merge
         return sum(1 if pre in one else merge(pre) for pre in SPLIT.findall(unit))
 
     def count(self, text: str) -> int:
@@ -85,10 +92,10 @@ class Counter:
         return self.firsts[first] + sum(map(self.units.__getitem__, rest))
 
 
-def _count_batches(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(vocabulary: Vocabulary, one, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key = id(vocabulary.encoder())
     if key not in _counters:
-        _counters[key] = Counter(vocabulary)
+        _counters[key] = Counter(vocabulary, one.value)
     count = _counters[key].count
     for batch in batches:
         n = [count(t) if t else 0 for t in strings(batch.column(2))]
@@ -106,5 +113,6 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         raise ValueError("the whole-token shortcut needs a byte-level vocabulary without a normalizer")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(partial(_count_batches, vocabulary), f"id {kind}, n_bytes long, n_tokens long")
+    one = docs.sparkSession.sparkContext.broadcast(frozenset(whole_tokens(vocabulary.encoder().library)))  # of fixed size: the vocabulary
+    out = rows.mapInArrow(partial(_count_batches, vocabulary, one), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

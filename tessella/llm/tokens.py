@@ -133,6 +133,10 @@ class Encoder:
         """Ids of a pre-token of letters."""
         return array("I", [t.id for t in self.model(letters if letters.isascii() else letters.translate(self.written))]).tobytes()
 
+    def letters(self, lead: str, letters: str) -> list:
+        """Tokens of a pre-token of letters, with a space before them if ``lead`` is one."""
+        return self.model((self.space if lead else "") + (letters if letters.isascii() else letters.translate(self.written)))
+
     def _after_space(self, letters: str) -> bytes:
         """Ids of a pre-token of letters with a space before them."""
         return array("I", [t.id for t in self.model(self.space + (letters if letters.isascii() else letters.translate(self.written)))]).tobytes()
