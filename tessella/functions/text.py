@@ -1,11 +1,14 @@
 """Text identity, quality and script functions as column expressions.
 
-Only Unicode normalisation needs Python (Spark has no NFC); it is one Arrow-batched
-function that returns ASCII batches as they are.
+Only Unicode normalisation needs Python (Spark has no NFC): one Arrow-batched function that
+unifies line ends, normalises and strips in a single pass. Its result is a column of the
+plan, so what follows never runs it twice. Letters are counted as ASCII ones and
+those of the non-ASCII rest, which is short in most texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from dataclasses import dataclass
@@ -44,8 +47,28 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def _plain(t: str | None) -> str | None:
+    if t is None:
+        return None
+    if "\r" in t:
+        t = t.replace("\r\n", "\n").replace("\r", "\n")
+    return (t if t.isascii() else unicodedata.normalize("NFC", t)).strip()
+
+
+@F.pandas_udf(StringType())
+def normal(texts: pd.Series) -> pd.Series:
+    """Line ends as LF, normal form C, white space off both ends."""
+    return texts.map(_plain)
+
+
+@F.pandas_udf(StringType())
+def identity_text(texts: pd.Series) -> pd.Series:
+    """One leading byte-order mark off, then as ``normal``."""
+    return texts.map(lambda t: t if t is None else _plain(t.removeprefix("\ufeff")))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{BLANK}+", ""), rf"{BLANK}+\z", "")
 
 
 def rstrip(text: Column) -> Column:
@@ -56,28 +79,29 @@ def unify_lines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def identity_text(text: Column) -> Column:
-    """One leading byte-order mark off, line ends as LF, NFC, white space off both ends."""
-    bare = F.when(text.startswith("﻿"), F.substring(text, 2, 2**31 - 1)).otherwise(text)
-    bare = nfc(unify_lines(bare))
-    return F.regexp_replace(F.regexp_replace(bare, rf"\A{BLANK}+", ""), rf"{BLANK}+\z", "")
-
-
 def content_sha256(text: Column) -> Column:
     return F.sha2(identity_text(text), 256)
 
 
+def normal_sha256(text: Column) -> Column:
+    """The same of a text that is ``normal`` already, or a prefix of one: only a byte-order mark is left to take off."""
+    return F.sha2(F.when(text.startswith("\ufeff"), strip(F.substring(text, 2, 2**31 - 1))).otherwise(text), 256)
+
+
 def document_id_v1(source: Column, sha: Column, upstream: Column) -> Column:
-    """The upstream id with its source, or else the content with its source; an empty upstream id is an error."""
+    """The upstream id with its source, or else the content with its source; an empty upstream id is an error.
+
+    A document without a text or a source has no id.
+    """
     named = F.to_json(F.struct(source.alias("source_identity"), upstream.cast("string").alias("upstream_id")))
     bound = F.to_json(F.struct(sha.alias("content_sha256"), source.alias("source_identity")))
-    return F.sha2(F.when(upstream.isNull(), bound).otherwise(_not_empty(upstream, named)), 256)
+    return F.when(source.isNotNull() & sha.isNotNull(), F.sha2(F.when(upstream.isNull(), bound).otherwise(_not_empty(upstream, named)), 256))
 
 
 def document_id_v2(source: Column, sha: Column, upstream: Column) -> Column:
     """Content and source always, the upstream id where there is one."""
     whole = F.to_json(F.struct(sha.alias("content_sha256"), source.alias("source_identity"), upstream.cast("string").alias("upstream_id")))
-    return F.sha2(_not_empty(upstream, whole), 256)
+    return F.when(source.isNotNull() & sha.isNotNull(), F.sha2(_not_empty(upstream, whole), 256))
 
 
 def _not_empty(upstream: Column, value: Column) -> Column:
@@ -100,18 +124,31 @@ def assign_split(sha: Column, salt: str, fraction: str) -> Column:
     if not salt:
         raise ValueError("the salt must not be empty")
     score = F.substring(F.sha2(F.concat(F.lit(salt), F.lit("\0"), sha), 256), 1, 16)
-    return F.when(score < validation_threshold(fraction), "validation").otherwise("train")
+    return F.when(sha.isNull(), None).when(score < validation_threshold(fraction), "validation").otherwise("train")
 
 
 def count_of(text: Column, members: str) -> Column:
     """Code points of a class in a text."""
-    return F.length(F.regexp_replace(text, f"[^{members}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{members}]+", ""))
+
+
+def beyond_ascii(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x00-\x7F]+", "")
 
 
 def script_counts(text: Column) -> Column:
     """Struct of ``latin``, ``japanese`` and ``other`` letters."""
-    rest = F.regexp_replace(text, f"[{JAPANESE}{latin()}]", "")
-    return F.struct(count_of(text, latin()).alias("latin"), count_of(text, JAPANESE).alias("japanese"), F.length(F.regexp_replace(rest, r"[^\p{L}]", "")).alias("other"))
+    rest = beyond_ascii(text)
+    other = F.regexp_replace(F.regexp_replace(rest, f"[{JAPANESE}{latin()}]+", ""), r"[^\p{L}]+", "")
+    return F.struct((count_of(text, "A-Za-z") + count_of(rest, latin())).alias("latin"), count_of(rest, JAPANESE).alias("japanese"), F.length(other).alias("other"))
+
+
+def has_latin(text: Column) -> Column:
+    return text.rlike("[A-Za-z]") | beyond_ascii(text).rlike(f"[{latin()}]")
+
+
+def has_japanese(text: Column) -> Column:
+    return text.rlike(f"[{JAPANESE}]")
 
 
 def classify_language(japanese: Column, latin_: Column, other: Column) -> Column:
@@ -151,17 +188,16 @@ def verdict(df, text: str, policy: DocumentPolicy, invalid: Column | None = None
     ``invalid`` marks rows whose raw text held lone surrogates, which only a strict
     reader can see.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.col("_n"), rf"\A{BLANK}+", ""), rf"{BLANK}+\z", "")
-    df = df.withColumn("_n", nfc(unify_lines(F.col(text)))).withColumn("_n", bare)
+    df = df.withColumn("_n", normal(F.col(text)))
     over = F.octet_length("_n") > policy.max_utf8_bytes if policy.max_utf8_bytes else F.lit(False)
     df = df.withColumn("_over", F.coalesce(over, F.lit(False)))
     cut = F.when(F.col("_over"), rstrip(truncate_utf8(F.col("_n"), policy.max_utf8_bytes))).otherwise(F.col("_n")) if policy.max_utf8_bytes else F.col("_n")
     df = df.withColumn("_t", cut).withColumn("scripts", script_counts(F.col("_t")))
     wrong = F.lit(False)
     if policy.reject_wrong_script and policy.language == "ja":
-        wrong = F.col("scripts.japanese") == 0
+        wrong = ~has_japanese(F.col("_t"))
     elif policy.reject_wrong_script and policy.language == "en":
-        wrong = (F.col("scripts.latin") == 0) & (F.col("scripts.japanese") > 0)
+        wrong = has_japanese(F.col("_t")) & ~has_latin(F.col("_t"))
     controls = F.col("_n").rlike(CONTROL) if policy.reject_controls else F.lit(False)
     reason = (
         F.when(F.col(text).isNull(), "non_string").when(invalid if invalid is not None else F.lit(False), "invalid_unicode").when(F.col("_n") == "", "empty")
@@ -170,7 +206,7 @@ def verdict(df, text: str, policy: DocumentPolicy, invalid: Column | None = None
     df = df.withColumn("reason", reason)
     early = F.coalesce(F.col("reason").isin("non_string", "invalid_unicode", "empty", "control_character"), F.lit(False))
     kept = F.col("reason").isNull()
-    return df.withColumns({"truncated": F.col("_over") & ~early, "clean": F.when(kept, F.col("_t")), "content_sha256": F.when(kept, content_sha256(F.col("_t")))}).drop("_n", "_over", "_t")
+    return df.withColumns({"truncated": F.col("_over") & ~early, "clean": F.when(kept, F.col("_t")), "content_sha256": F.when(kept, normal_sha256(F.col("_t")))}).drop("_n", "_over", "_t")
 
 
 def canonical_json(value) -> bytes:
@@ -178,15 +214,30 @@ def canonical_json(value) -> bytes:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()
 
 
+def _pieces(batches):
+    """Sorted entries -> pieces of the document, a piece a batch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([",".join(batch.column(0).to_pylist())])], names=["piece"])
+
+
 def dataset_fingerprint(rows, split: str | None = None):
     """A row ``fingerprint`` over (document_id, content_sha256, split): all rows, or those of one split.
 
-    The digest is defined over one sorted document, so its last step is one task; it
-    holds about 200 bytes a document.
+    Rows without an id are documents that were refused and take no part. The digest is
+    defined over one sorted document: it is sorted by ranges, and its pieces pass the
+    driver in order, one partition at a time, so no array or task holds the whole.
     """
     if split is not None:
         rows = rows.where(F.col("split") == split)
     names = ("document_id", "content_sha256") + (() if split is not None else ("split",))
-    part = F.transform(F.array_sort(F.collect_list(F.struct(*names))), lambda s: F.to_json(F.struct(*[s[c].alias(c) for c in sorted(names)])))
-    tail = "]}" if split is None else f'],"split":{json.dumps(split, ensure_ascii=False)}}}'
-    return rows.agg(F.sha2(F.concat(F.lit('{"documents":['), F.array_join(part, ","), F.lit(tail)), 256).alias("fingerprint"))
+    rows = rows.where(F.col("document_id").isNotNull()).select(*names).orderBy(*names)
+    entries = rows.select(F.to_json(F.struct(*sorted(names))).alias("entry"))
+    digest, first = hashlib.sha256(b'{"documents":['), True
+    for r in entries.mapInArrow(_pieces, "piece string").toLocalIterator():
+        digest.update((b"" if first else b",") + r.piece.encode())
+        first = False
+    digest.update(b"]}" if split is None else f'],"split":{json.dumps(split, ensure_ascii=False)}}}'.encode())
+    return rows.sparkSession.createDataFrame([(digest.hexdigest(),)], "fingerprint string")

@@ -16,15 +16,28 @@ def with_duplicates(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("duplicate", F.col(order) != F.col("_first")).drop("_first")
 
 
-def audit(df: DataFrame, by: str, text: str, tokens: Column, duplicate: Column, truncated: Column | None = None) -> DataFrame:
-    """One row a source: documents, bytes, tokens, end tokens, script sums, languages and duplicates. ``df`` has ``scripts`` and ``language``."""
-    return df.groupBy(by).agg(
-        F.count("*").alias("documents"), F.sum(F.octet_length(text)).alias("text_bytes"), F.sum(tokens).alias("tokens"), F.count("*").alias("end_tokens"),
-        F.sum("scripts.latin").alias("latin"), F.sum("scripts.japanese").alias("japanese"), F.sum("scripts.other").alias("other"),
-        F.count_if(F.col("language") == "en").alias("lang_en"), F.count_if(F.col("language") == "ja").alias("lang_ja"),
-        F.count_if(F.col("language") == "mixed").alias("lang_mixed"), F.count_if(F.col("language") == "other").alias("lang_other"),
-        F.count_if(duplicate).alias("duplicates"), F.count_if(F.coalesce(truncated if truncated is not None else F.lit(False), F.lit(False))).alias("truncated"),
-    )
+def summed(df: DataFrame, key: str, by: str, order: str, sums: dict[str, Column]) -> DataFrame:
+    """One row a ``by``: ``documents``, ``sums`` (of values a row), and ``duplicates``: rows that aren't the first with their ``key``, by (order, by).
+
+    Rows are reduced to one a (key, by) first, in one pass over them; that table gives
+    the sums and the owner of each key's first row. Null is a key and a ``by`` like others.
+    """
+    small = df.groupBy(F.col(key).alias("_key"), F.col(by).alias("_by")).agg(F.count("*").alias("_rows"), F.min(F.struct(F.col(order).alias("o"))).alias("_first"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    owner = small.groupBy("_key").agg(F.min(F.struct("_first", "_by")).alias("_own")).groupBy(F.col("_own._by").alias("_owner")).agg(F.count("*").alias("_firsts"))
+    total = small.groupBy("_by").agg(F.sum("_rows").alias("documents"), *[F.sum(n).alias(n) for n in sums])
+    out = total.join(owner, F.col("_by").eqNullSafe(F.col("_owner")), "left")
+    return out.select(F.col("_by").alias(by), "documents", *sums, (F.col("documents") - F.coalesce("_firsts", F.lit(0))).alias("duplicates"))
+
+
+def audit(df: DataFrame, by: str, text: str, key: str, order: str, tokens: Column, truncated: Column | None = None) -> DataFrame:
+    """One row a source: documents, bytes, tokens, end tokens, script sums, languages, duplicates and truncated ones. ``df`` has ``scripts`` and ``language``; texts are reduced to lengths before any shuffle."""
+    language = {f"lang_{n}": F.when(F.col("language") == n, 1).otherwise(0).cast("long") for n in ("en", "ja", "mixed", "other")}
+    scripts = {n: F.col(f"scripts.{n}") for n in ("latin", "japanese", "other")}
+    cut = F.coalesce(truncated if truncated is not None else F.lit(False), F.lit(False)).cast("int").cast("long")
+    values = {"text_bytes": F.octet_length(text), "tokens": tokens, **scripts, **language, "truncated": cut}
+    narrow = df.select(key, by, order, *[c.alias(n) for n, c in values.items()])
+    out = summed(narrow, key, by, order, {n: F.col(n) for n in values})
+    return out.withColumn("end_tokens", F.col("documents"))
 
 
 def null_accounting(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,6 +46,12 @@ def null_accounting(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(f"null:{c}").alias("reason"), F.col(c).alias("events")) for c in columns])).alias("x")).select("x.reason", "x.events")
 
 
+def event_counts(judged: DataFrame, reason: str, nulls: list[str]) -> DataFrame:
+    """Rows (``event``, ``n``) of a judged scan: raw rows, accepted ones, reasons, and null cells by column; one pass."""
+    one = F.explode(F.array_compact(F.array(F.lit("rows"), F.coalesce(F.col(reason), F.lit("accepted")), *[F.when(F.col(c).isNull(), F.lit(f"null:{c}")) for c in nulls])))
+    return judged.select(one.alias("event")).groupBy("event").agg(F.count("*").alias("n"))
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of ``a`` that ``b`` has too; it must be empty for disjoint sets."""
     return a.select(key).where(F.col(key).isNotNull()).distinct().join(b.select(key), key, "left_semi")

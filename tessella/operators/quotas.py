@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.totals import running_total_by
+
 
 def largest_remainder(ratios: DataFrame, total: int, name: str = "name", ratio: str = "ratio") -> DataFrame:
     """Adds ``quota``: floor(total * ratio), and one more for the largest fractions; of equal fractions the larger name wins.
@@ -32,18 +34,17 @@ def largest_remainder_of(ratios: dict[str, float], total: int) -> dict[str, int]
 
 
 def keep_within(length: Column, before: Column, quota: Column) -> Column:
-    """How many of a document's tokens a quota leaves, given those before it."""
-    return F.greatest(F.lit(0), F.least(length, quota - before))
+    """How many of a document's tokens a quota leaves, given those before it; a document of unknown length has none."""
+    return F.greatest(F.lit(0), F.least(F.coalesce(length, F.lit(0)), quota - before))
 
 
 def cut_to_quota(df: DataFrame, source: str, order: str, length: str, quota: str) -> DataFrame:
-    """Adds ``kept`` tokens of each document, taken in ``order`` until its source's quota is full; drops documents without any.
+    """Adds ``kept`` tokens of each document, taken in ``order`` (of equal places the shorter first) until its source's quota is full; drops documents without any.
 
-    The running sum is one window a source; its rows are lengths, not texts.
+    A source with most of the rows is spread over many tasks: the running sum has two levels.
     """
-    w = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(length).over(w), F.lit(0))
-    return df.withColumn("kept", keep_within(F.col(length), before, F.col(quota))).where("kept > 0")
+    df = running_total_by(df.withColumn(length, F.coalesce(F.col(length), F.lit(0))), source, length, [order, length], "_used")
+    return df.withColumn("kept", keep_within(F.col(length), F.col("_used"), F.col(quota))).where("kept > 0").drop("_used")
 
 
 def cut_ids(ids: Column, keep: Column, end: int) -> Column:
@@ -52,6 +53,20 @@ def cut_ids(ids: Column, keep: Column, end: int) -> Column:
     return F.when(F.size(ids) <= keep, ids).otherwise(cut)
 
 
+def cut_bytes(text: Column, keep: Column) -> Column:
+    """The text that byte ids cut to ``keep`` (the last of them an end) decode to; whole where all fit, and a character that was cut in two is left out."""
+    data = F.encode(text, "UTF-8")
+    most = F.greatest(keep - 1, F.lit(0)).cast("int")
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(part), part) for part in (F.substring(data, F.lit(1), F.greatest(most - k, F.lit(0))).cast("string") for k in range(4))])
+    return F.when(F.octet_length(text) + 1 <= keep, text).otherwise(cut)
+
+
+def truncation_counts(df: DataFrame, by: str, length: str, kept: str) -> DataFrame:
+    """Documents that a target quota cut, and the tokens that it removed, by source."""
+    cut = F.col(kept) < F.col(length)
+    return df.groupBy(by).agg(F.count_if(cut).alias("fragments"), F.coalesce(F.sum(F.when(cut, F.col(length) - F.col(kept))), F.lit(0)).alias("removed_tokens"))
+
+
 def ratio_report(counts: DataFrame, expected: DataFrame, name: str, amount: str, tolerance: float) -> DataFrame:
     """Realised share of each source beside the expected one, and whether they differ by no more than ``tolerance``."""
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

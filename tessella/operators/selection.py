@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.totals import running_total
+
 
 def pareto(df: DataFrame, key: str, low: list[str], high: list[str]) -> DataFrame:
     """Candidates that no other one equals or beats in every measure while differing in one."""
@@ -107,9 +109,10 @@ def checkpoint_bytes(size: Column, tokens: Column, milestone: int, evidence: Col
 
 def admitted(df: DataFrame, order: list[str], key: str, size: str, limit: int) -> DataFrame:
     """Uploads in order, each content once, as long as their bytes stay within a limit."""
-    first = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn("projected", F.sum(size).over(w)).withColumn("admitted", F.col("projected") <= limit)
+    first = df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*order)).alias("_row"))
+    first = first.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    out = running_total(first, size, order, "_used")
+    return out.withColumn("projected", F.col("_used") + F.col(size)).withColumn("admitted", F.col("projected") <= limit).drop("_used")
 
 
 def weaker_thresholds(own: DataFrame, committed: DataFrame, name: str = "name") -> DataFrame:

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from tessella.runtime import materialize
 
 
+def running_total_by(df: DataFrame, by: str, value: str, order: list[str], out: str = "before") -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the same ``by`` that come before in ``order``; a hot ``by`` is spread over many tasks."""
+    placed = running_total(df, value, [by, *order], "_before")
+    starts = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_before").alias("_from"))
+    return placed.join(starts, F.col(by).eqNullSafe(F.col("_by"))).withColumn(out, F.col("_before") - F.col("_from")).drop("_by", "_from", "_before")
+
+
 def running_total(df: DataFrame, value: str, order: list[str], out: str = "before") -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows that come before in ``order``.
+    """Adds ``out``: the sum of ``value`` (not negative) over all rows that come before in ``order``.
 
     Two levels: rows are range-partitioned and written; sums within partitions are
     windows of one partition, sums before partitions a window over one row each.

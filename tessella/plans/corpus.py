@@ -9,7 +9,7 @@ from tessella.functions import text as T
 from tessella.functions.measures import distribution, rate
 from tessella.functions.tokens import Bytes, with_end
 from tessella.operators import accounting, fixed_windows, quotas
-from tessella.operators.schedule import Mix, plan, shuffled
+from tessella.operators.schedule import Mix, plan, shuffle_key
 from tessella.operators.totals import running_total
 from tessella.runtime import table
 
@@ -70,20 +70,19 @@ def script_counts(spark, d):
 
 
 def exact_duplicates(spark, d):
-    df = documents(spark, d).withColumn("sha", T.content_sha256(F.col("text")))
-    return accounting.with_duplicates(df, "sha", "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.count_if("duplicate").alias("duplicates"))
+    df = documents(spark, d).select("doc_id", "source", T.content_sha256(F.col("text")).alias("sha"))
+    return accounting.summed(df, "sha", "source", "doc_id", {})
 
 
 def first_occurrence(spark, d):
-    df = documents(spark, d).select("doc_id", T.content_sha256(F.col("text")).alias("sha"))
-    return accounting.with_duplicates(df, "sha", "doc_id").where(~F.col("duplicate")).select("doc_id", "sha")
+    """The least id of each content; rows are reduced on the map side."""
+    return documents(spark, d).groupBy(T.content_sha256(F.col("text")).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sha")
 
 
 def audit_per_source(spark, d):
-    df = documents(spark, d).withColumns({"scripts": T.script_counts(F.col("text")), "sha": T.content_sha256(F.col("text"))})
+    df = documents(spark, d).select("doc_id", "source", "text", T.content_sha256(F.col("text")).alias("sha"), T.script_counts(F.col("text")).alias("scripts"))
     df = df.withColumn("language", T.classify_language(F.col("scripts.japanese"), F.col("scripts.latin"), F.col("scripts.other")))
-    df = accounting.with_duplicates(df, "sha", "doc_id")
-    return accounting.audit(df, "source", "text", Bytes().count(F.col("text")), F.col("duplicate")).drop("truncated")
+    return accounting.audit(df, "source", "text", "sha", "doc_id", Bytes().count(F.col("text"))).drop("truncated")
 
 
 def length_distribution(spark, d):
@@ -125,7 +124,8 @@ def benchmark_exact_screen(spark, d):
 
 
 def _lengths(spark, d) -> DataFrame:
-    return documents(spark, d).select("doc_id", "source", (F.octet_length("text") + 1).cast("long").alias("n_tokens"))
+    """A row a document; one without a text has its end alone."""
+    return documents(spark, d).select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("n_tokens"))
 
 
 def _ratios(spark, d) -> DataFrame:
@@ -139,13 +139,13 @@ def quota_largest_remainder(spark, d):
 
 
 def quota_cut(spark, d):
-    q = quotas.largest_remainder(_ratios(spark, d), TOTAL).select(F.col("name").alias("source"), "quota")
-    df = _lengths(spark, d).join(q, "source")
+    q = quotas.largest_remainder(_ratios(spark, d), TOTAL).select("name", "quota")
+    df = _lengths(spark, d).join(q, F.col("source").eqNullSafe(F.col("name")))
     return quotas.cut_to_quota(df, "source", "doc_id", "n_tokens", "quota").select("source", "doc_id", "kept")
 
 
 def _placed(spark, d) -> DataFrame:
-    return running_total(_lengths(spark, d), "n_tokens", ["doc_id"], "start")
+    return running_total(_lengths(spark, d), "n_tokens", ["doc_id", "n_tokens"], "start")
 
 
 def pack_windows(spark, d):
@@ -170,11 +170,19 @@ def pack_spans(spark, d):
 
 
 def pack_window_ids(spark, d):
-    """The windows themselves, as the checksum of their ids and of their labels."""
-    ids = with_end(Bytes().encode(F.col("text")))
+    """The windows themselves, as the sums of their inputs and of their labels.
+
+    Places are found on lengths; texts meet them by id, hash and number among equal rows.
+    """
+    th = F.xxhash64("text")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("th"))
+    ids = with_end(Bytes().encode(F.coalesce("text", F.lit(""))))
+    rows = documents(spark, d).select("doc_id", "text", th.alias("th"))
+    places = rows.select("doc_id", "th", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("n_tokens")).withColumn("copy", copy)
+    places = running_total(places, "n_tokens", ["doc_id", "n_tokens", "th", "copy"], "start").select(F.col("doc_id").alias("id"), F.col("th").alias("h"), F.col("copy").alias("c"), "start")
     total = _lengths(spark, d).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     full, _ = fixed_windows.full_windows(total, WIDTH)
-    docs = _placed(spark, d).select("doc_id", "start").join(documents(spark, d).select("doc_id", ids.alias("ids")), "doc_id")
+    docs = rows.withColumn("copy", copy).join(places, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")) & (F.col("copy") == F.col("c"))).select("doc_id", "start", ids.alias("ids"))
     windows = fixed_windows.window_ids(docs, "start", "ids", WIDTH, full)
     inputs, labels = fixed_windows.inputs_and_labels(F.col("input_ids"))
     total_of = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, i: s + i)
@@ -228,7 +236,9 @@ def mix_buffered(spark, d):
 
 
 def hash_shuffle(spark, d):
-    return shuffled(documents(spark, d).select("doc_id"), 17, "doc_id")
+    """Every document's place in a seeded global order."""
+    keyed = documents(spark, d).select("doc_id", shuffle_key(17, "doc_id").alias("k"), F.lit(1).cast("long").alias("one"))
+    return running_total(keyed, "one", ["k", "doc_id"], "place").select("doc_id", "place")
 
 
 QUERIES = {
@@ -244,38 +254,43 @@ QUERIES = {
 _BLANK = T.BLANK
 _NORM = rf"regexp_replace(regexp_replace(nfc_normalize(replace(replace(CASE WHEN starts_with(text, chr(65279)) THEN substring(text, 2) ELSE text END, chr(13) || chr(10), chr(10)), chr(13), chr(10))), '^{_BLANK}+', ''), '{_BLANK}+$', '')"
 _SHA = f"sha256({_NORM})"
-_IDS = f"""SELECT *, sha256('{{"source_identity":"' || source || '","upstream_id":"' || doc_id || '"}}') AS id_v1,
-  sha256('{{"content_sha256":"' || sha || '","source_identity":"' || source || '","upstream_id":"' || doc_id || '"}}') AS id_v2,
-  CASE WHEN substr(sha256('{SALT}' || chr(0) || sha), 1, 16) < '{T.validation_threshold(FRACTION)}' THEN 'validation' ELSE 'train' END AS split
+# A policy keeps a byte-order mark in the text; its identity leaves it out.
+_CLEAN = rf"regexp_replace(regexp_replace(nfc_normalize(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))), '^{_BLANK}+', ''), '{_BLANK}+$', '')"
+_CLEAN_SHA = rf"sha256(regexp_replace(regexp_replace(CASE WHEN starts_with(t, chr(65279)) THEN substring(t, 2) ELSE t END, '^{_BLANK}+', ''), '{_BLANK}+$', ''))"
+_RANK = f"row_number() OVER (PARTITION BY {_SHA} ORDER BY doc_id NULLS FIRST, source NULLS FIRST)"
+_UPSTREAM = """CASE WHEN doc_id IS NULL THEN '' ELSE ',"upstream_id":"' || doc_id || '"' END"""
+_IDS = f"""SELECT *, CASE WHEN doc_id IS NULL THEN sha256('{{"content_sha256":"' || sha || '","source_identity":"' || source || '"}}') WHEN sha IS NOT NULL THEN sha256('{{"source_identity":"' || source || '","upstream_id":"' || doc_id || '"}}') END AS id_v1,
+  sha256('{{"content_sha256":"' || sha || '","source_identity":"' || source || '"' || {_UPSTREAM} || '}}') AS id_v2,
+  CASE WHEN sha IS NULL THEN NULL WHEN substr(sha256('{SALT}' || chr(0) || sha), 1, 16) < '{T.validation_threshold(FRACTION)}' THEN 'validation' ELSE 'train' END AS split
   FROM (SELECT *, {_SHA} AS sha FROM documents)"""
 _SCRIPTS = rf"""length(regexp_replace(text, '[^{_LATIN}]', '', 'g')) AS latin, length(regexp_replace(text, '[^{_JA}]', '', 'g')) AS japanese,
   length(regexp_replace(regexp_replace(text, '[{_JA}{_LATIN}]', '', 'g'), '[^\p{{L}}]', '', 'g')) AS other"""
 _LANG = "CASE WHEN japanese > 0 AND latin > 0 THEN 'mixed' WHEN japanese > 0 THEN 'ja' WHEN latin > 0 THEN 'en' ELSE 'other' END"
-_LEN = "SELECT doc_id, source, strlen(text) + 1 AS n FROM documents"
+_LEN = "SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS n FROM documents"
 _QUOTA = f"""SELECT name, (f + CASE WHEN row_number() OVER (ORDER BY r DESC, name DESC) <= {TOTAL} - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota
   FROM (SELECT name, floor({TOTAL}.0::DOUBLE * ratio) AS f, {TOTAL}.0::DOUBLE * ratio - floor({TOTAL}.0::DOUBLE * ratio) AS r
     FROM (SELECT source AS name, sum(n)::DOUBLE / sum(sum(n)) OVER () AS ratio FROM ({_LEN}) GROUP BY source))"""
 _TOUCH = f"""SELECT *, least(e, (k + 1) * {WIDTH - 1} + 1) - greatest(s, k * {WIDTH - 1} + 1) AS targets FROM (
   SELECT *, unnest(range((s - 1) // {WIDTH - 1}, (e - 2) // {WIDTH - 1} + 1)) AS k FROM (
-    SELECT *, greatest(start, 1) AS s, start + n AS e FROM (SELECT *, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS start FROM ({_LEN}))) WHERE e > s)"""
+    SELECT *, greatest(start, 1) AS s, start + n AS e FROM (SELECT *, (sum(n) OVER (ORDER BY doc_id NULLS FIRST, n ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start FROM ({_LEN}))) WHERE e > s)"""
 
 SQL = {
     "doc_identity": f"SELECT doc_id, sha AS content_sha256, id_v1, id_v2, split FROM ({_IDS})",
     "split_counts": f"SELECT source, split, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha) AS contents FROM ({_IDS}) GROUP BY source, split",
-    "dataset_fingerprint": f"""SELECT sha256('{{"documents":[' || string_agg('{{"content_sha256":"' || sha || '","document_id":"' || id_v2 || '","split":"' || split || '"}}', ',' ORDER BY id_v2, sha, split) || ']}}') AS fingerprint FROM ({_IDS})""",
-    "split_fingerprint": f"""SELECT sha256('{{"documents":[' || string_agg('{{"content_sha256":"' || sha || '","document_id":"' || id_v2 || '"}}', ',' ORDER BY id_v2, sha) || '],"split":"validation"}}') AS fingerprint FROM ({_IDS}) WHERE split = 'validation'""",
-    "policy_verdict": rf"""SELECT doc_id, reason, CASE WHEN reason IS NULL THEN length(t) END AS kept_chars, CASE WHEN reason IS NULL THEN sha256(t) END AS content_sha256 FROM (
+    "dataset_fingerprint": f"""SELECT sha256('{{"documents":[' || coalesce(string_agg('{{"content_sha256":"' || sha || '","document_id":"' || id_v2 || '","split":"' || split || '"}}', ',' ORDER BY id_v2, sha, split), '') || ']}}') AS fingerprint FROM ({_IDS}) WHERE id_v2 IS NOT NULL""",
+    "split_fingerprint": f"""SELECT sha256('{{"documents":[' || coalesce(string_agg('{{"content_sha256":"' || sha || '","document_id":"' || id_v2 || '"}}', ',' ORDER BY id_v2, sha), '') || '],"split":"validation"}}') AS fingerprint FROM ({_IDS}) WHERE split = 'validation'""",
+    "policy_verdict": rf"""SELECT doc_id, reason, CASE WHEN reason IS NULL THEN length(t) END AS kept_chars, CASE WHEN reason IS NULL THEN {_CLEAN_SHA} END AS content_sha256 FROM (
       SELECT doc_id, t, CASE WHEN t IS NULL THEN 'non_string' WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '{T.CONTROL}') THEN 'control_character'
-        WHEN regexp_matches(t, '[{_JA}]') AND NOT regexp_matches(t, '[{_LATIN}]') THEN 'wrong_script' END AS reason FROM (SELECT doc_id, {_NORM} AS t FROM documents))""",
+        WHEN regexp_matches(t, '[{_JA}]') AND NOT regexp_matches(t, '[{_LATIN}]') THEN 'wrong_script' END AS reason FROM (SELECT doc_id, {_CLEAN} AS t FROM documents))""",
     "rejection_counts": rf"""SELECT source, CASE WHEN t IS NULL THEN 'non_string' WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '{T.CONTROL}') THEN 'control_character'
-      WHEN NOT regexp_matches(t, '[{_JA}]') THEN 'wrong_script' ELSE 'accepted' END AS reason, count(*) AS documents FROM (SELECT source, {_NORM} AS t FROM documents) GROUP BY 1, 2""",
+      WHEN NOT regexp_matches(t, '[{_JA}]') THEN 'wrong_script' ELSE 'accepted' END AS reason, count(*) AS documents FROM (SELECT source, {_CLEAN} AS t FROM documents) GROUP BY 1, 2""",
     "script_counts": f"SELECT *, {_LANG} AS language FROM (SELECT doc_id, {_SCRIPTS} FROM documents)",
-    "exact_duplicates": f"SELECT source, count(*) AS documents, count(*) FILTER (doc_id != first) AS duplicates FROM (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY {_SHA}) AS first FROM documents) GROUP BY source",
+    "exact_duplicates": f"SELECT source, count(*) AS documents, count(*) FILTER (k > 1) AS duplicates FROM (SELECT source, {_RANK} AS k FROM documents) GROUP BY source",
     "first_occurrence": f"SELECT min(doc_id) AS doc_id, sha FROM (SELECT doc_id, {_SHA} AS sha FROM documents) GROUP BY sha",
     "audit_per_source": f"""SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS text_bytes, sum(strlen(text))::BIGINT AS tokens, count(*) AS end_tokens, sum(latin)::BIGINT AS latin, sum(japanese)::BIGINT AS japanese, sum(other)::BIGINT AS other,
-      count(*) FILTER (language = 'en') AS lang_en, count(*) FILTER (language = 'ja') AS lang_ja, count(*) FILTER (language = 'mixed') AS lang_mixed, count(*) FILTER (language = 'other') AS lang_other, count(*) FILTER (doc_id != first) AS duplicates
-      FROM (SELECT *, {_LANG} AS language FROM (SELECT *, {_SCRIPTS}, min(doc_id) OVER (PARTITION BY {_SHA}) AS first FROM documents)) GROUP BY source""",
-    "length_distribution": "SELECT source, count(*) AS count, quantile_disc(n, 0.5)::DOUBLE AS p50, quantile_disc(n, 0.95)::DOUBLE AS p95, quantile_disc(n, 0.99)::DOUBLE AS p99, max(n) AS max FROM (SELECT source, strlen(text)::INT AS n FROM documents) GROUP BY source",
+      count(*) FILTER (language = 'en') AS lang_en, count(*) FILTER (language = 'ja') AS lang_ja, count(*) FILTER (language = 'mixed') AS lang_mixed, count(*) FILTER (language = 'other') AS lang_other, count(*) FILTER (k > 1) AS duplicates
+      FROM (SELECT *, {_LANG} AS language FROM (SELECT *, {_SCRIPTS}, {_RANK} AS k FROM documents)) GROUP BY source""",
+    "length_distribution": "SELECT source, count(n) AS count, quantile_disc(n, 0.5)::DOUBLE AS p50, quantile_disc(n, 0.95)::DOUBLE AS p95, quantile_disc(n, 0.99)::DOUBLE AS p99, max(n) AS max FROM (SELECT source, strlen(text)::INT AS n FROM documents) GROUP BY source",
     "interpolated_quantiles": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS q5, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.95), 4) AS q95 FROM lineitem GROUP BY l_returnflag",
     "null_accounting": " UNION ALL ".join(f"SELECT 'null:{c}' AS reason, count(*) FILTER ({c} IS NULL) AS events FROM documents LEFT JOIN labels USING (doc_id)" for c in ("text", "source", "quality", "toxic")),
     "disjoint_ids": f"SELECT DISTINCT id_v2 AS document_id FROM ({_IDS}) WHERE split = 'train' AND id_v2 IN (SELECT id_v2 FROM ({_IDS}) WHERE split = 'validation')",
@@ -285,16 +300,24 @@ SQL = {
       x AS (SELECT doc_id, {_SHA} AS sha FROM documents UNION ALL SELECT doc_id, {_SHA} AS sha FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))
       SELECT doc_id, count(*) AS hits FROM x WHERE sha IN (SELECT sha FROM b) GROUP BY doc_id""",
     "quota_largest_remainder": _QUOTA,
-    "quota_cut": f"""SELECT source, doc_id, kept::BIGINT AS kept FROM (SELECT d.source, doc_id, least(n, quota - (sum(n) OVER (PARTITION BY d.source ORDER BY doc_id) - n)) AS kept FROM ({_LEN}) d JOIN ({_QUOTA}) q ON q.name = d.source) WHERE kept > 0""",
+    "quota_cut": f"""SELECT source, doc_id, kept::BIGINT AS kept FROM (SELECT d.source, doc_id, least(n, quota - (sum(n) OVER (PARTITION BY d.source ORDER BY doc_id NULLS FIRST, n ROWS UNBOUNDED PRECEDING) - n)) AS kept FROM ({_LEN}) d JOIN ({_QUOTA}) q ON q.name IS NOT DISTINCT FROM d.source) WHERE kept > 0""",
     "pack_windows": f"SELECT k AS window_id, sum(targets)::BIGINT AS targets, count(DISTINCT source) AS sources, count(*) AS documents FROM ({_TOUCH}) GROUP BY k",
     "pack_source_targets": f"SELECT k AS window_id, source, sum(targets)::BIGINT AS targets FROM ({_TOUCH}) GROUP BY k, source",
     "pack_accounting": f"SELECT t AS tokens, (t - 1) // {WIDTH - 1} AS full_windows, (t - 1) % {WIDTH - 1} AS tail_targets, (t - 1) // {WIDTH - 1} * {WIDTH} AS window_tokens FROM (SELECT sum(n)::BIGINT AS t FROM ({_LEN}))",
-    "pack_spans": f"""WITH p AS (SELECT *, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS start FROM ({_LEN})), t AS (SELECT (sum(n)::BIGINT - 1) // {WIDTH - 1} AS f FROM p)
+    "pack_spans": f"""WITH p AS (SELECT *, (sum(n) OVER (ORDER BY doc_id NULLS FIRST, n ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start FROM ({_LEN})), t AS (SELECT (sum(n)::BIGINT - 1) // {WIDTH - 1} AS f FROM p)
       SELECT w AS window_id, doc_id, greatest(start - w * {WIDTH - 1}, 0) AS span_start, least(start + n - w * {WIDTH - 1}, {WIDTH}) AS span_end
       FROM (SELECT p.*, f, unnest(range(greatest(0, (start - 1) // {WIDTH - 1} - 1), (start + n) // {WIDTH - 1} + 1)) AS w FROM p, t) WHERE w < f AND least(start + n - w * {WIDTH - 1}, {WIDTH}) > greatest(start - w * {WIDTH - 1}, 0)""",
     "ratio_tolerance": f"""SELECT name, targets, round(abs(targets / sum(targets) OVER () - ratio), 6) AS deviation, abs(targets / sum(targets) OVER () - ratio) <= 0.001 AS within FROM (
       SELECT source AS name, sum(targets)::BIGINT AS targets FROM ({_TOUCH}) GROUP BY source) JOIN (SELECT source AS name, sum(n)::DOUBLE / sum(sum(n)) OVER () AS ratio FROM ({_LEN}) GROUP BY source) USING (name)""",
     "rates": "SELECT source, round(sum(n_chars) / count(*), 6) AS chars_per_document, round(sum(n_chars) / nullif(count(*) FILTER (lang = 'de'), 0), 6) AS chars_per_german FROM documents GROUP BY source",
+    "utf8_truncate": f"""SELECT doc_id, strlen(cut) AS kept_bytes, md5(cut) AS kept_md5 FROM (SELECT doc_id, CASE WHEN strlen(text) <= {MOST_BYTES} THEN text
+      ELSE left(text, list_max(list_filter(range({MOST_BYTES // 4}, {MOST_BYTES} + 1), lambda i: strlen(left(text, i)) <= {MOST_BYTES}))) END AS cut FROM documents)""",
+    "pack_window_ids": f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, n, (sum(n) OVER (ORDER BY doc_id NULLS FIRST, n ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start FROM (SELECT doc_id, text, coalesce(strlen(text), 0) + 1 AS n FROM documents)),
+      f AS (SELECT (sum(n)::BIGINT - 1) // {WIDTH - 1} AS w FROM d),
+      t AS (SELECT start + i AS p, CASE WHEN i = n - 1 THEN 7 ELSE ('0x' || substr(h, i * 2 + 1, 2))::INT + 8 END AS id FROM (SELECT start, h, n, unnest(range(0, n)) AS i FROM d)),
+      a AS (SELECT p // {WIDTH - 1} AS k, sum(id)::BIGINT AS s FROM t GROUP BY 1), b AS (SELECT (p - 1) // {WIDTH - 1} AS k, sum(id)::BIGINT AS s FROM t WHERE p > 0 GROUP BY 1)
+      SELECT a.k AS window_id, {WIDTH}::BIGINT AS n, a.s AS input_sum, b.s AS label_sum FROM a JOIN b USING (k) WHERE a.k < (SELECT w FROM f)""",
+    "hash_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY md5('17:' || doc_id) NULLS FIRST, doc_id) - 1 AS place FROM documents",
     "inputs_labels_shift": r"""SELECT conv_id, turn, count(*) AS windows, sum(a)::BIGINT AS first_inputs, sum(b)::BIGINT AS last_labels FROM (
       SELECT conv_id, turn, ('0x' || substr(h, i * 2 + 1, 2))::INT + 8 AS a, ('0x' || substr(h, (i + 16) * 2 + 1, 2))::INT + 8 AS b
       FROM (SELECT conv_id, turn, hex(encode(text)) AS h, unnest(range(0, strlen(text) - 16)) AS i FROM conversations)) GROUP BY conv_id, turn""",

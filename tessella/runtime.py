@@ -20,14 +20,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (a local
-    session, as in tests) a temporary folder is made and set.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset in a local
+    session, as in tests, a temporary folder is made and set; elsewhere executors
+    wouldn't see it, so it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -49,20 +53,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of a narrow table that are worth a file and a task of their own.
-FILE_ROWS = 250_000
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd", about_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     The written table is the lineage: an executor that is lost later costs a
-    re-read of its splits, not the work that made them. ``about_rows`` is a guess of
-    the rows of a narrow table: it gets no more files than that is worth.
+    re-read of its splits, not the work that made them.
     """
     spark = df.sparkSession
-    if about_rows is not None:
-        df = df.coalesce(max(1, -(-about_rows // FILE_ROWS)))
     path = scratch(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
