@@ -8,7 +8,7 @@ position but the stream's first is a target of one window: a document's targets
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,25 @@ def full_windows(total: int, width: int) -> tuple[int, int]:
     return max(0, total - 1) // (width - 1), max(0, total - 1) % (width - 1)
 
 
+def layout(spark: SparkSession, total: int, width: int, keep_tail: bool = False, budget: int | None = None) -> DataFrame:
+    """The windows of a stream of ``total`` tokens: ``window_id``, ``window_tokens`` and ``targets``.
+
+    With ``keep_tail`` the rest is a short last window if it has a target. A target
+    ``budget`` ends the stream: the window that reaches it is cut, later ones are left out;
+    a stream that has too few targets for it is an error.
+    """
+    full, tail = full_windows(total, width)
+    rows = full + (1 if keep_tail and tail else 0)
+    there = full * (width - 1) + (tail if keep_tail else 0)
+    if budget is not None and there < budget:
+        raise ValueError(f"the stream ends {budget - there} targets before its budget")
+    if budget is not None:
+        rows = min(rows, -(-budget // (width - 1)))
+    left = F.lit(total - 1 if budget is None else min(budget, total - 1)) - F.col("id") * (width - 1)
+    targets = F.least(F.lit(width - 1), left)
+    return spark.range(rows).select(F.col("id").alias("window_id"), (targets + 1).alias("window_tokens"), targets.alias("targets"))
+
+
 def touched(df: DataFrame, start: str, length: str, width: int) -> DataFrame:
     """A row for each window that has targets of a document, with ``window_id`` and ``targets``."""
     s, e = F.greatest(F.col(start), F.lit(1)), F.col(start) + F.col(length)

@@ -208,6 +208,8 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 
 
 def read(spark: SparkSession, kind: str, *args, **options) -> DataFrame:
+    if kind == "manifest":
+        from tessella.sources import manifests  # noqa: F401  it adds its reader
     if kind not in READERS:
         raise ValueError(f"unknown source type {kind!r}; known: {', '.join(READERS)}")
     return READERS[kind](spark, *args, **options)

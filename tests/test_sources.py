@@ -77,14 +77,116 @@ def built(spark, tmp_path):
 
 
 def test_manifest_round_trip(spark, built):
-    found = manifests.verify(spark, str(built / "d.manifest.json"))
+    at = str(built / "d.manifest.json")
+    found = manifests.verify(spark, at, "train")
     assert found.index.count() == 20 and not found.lazy
+    other = manifests.verify(spark, at, "validation")
+    manifests.disjoint([found], [other])
     with pytest.raises(manifests.ManifestError, match="shared"):
-        manifests.disjoint(found, found)
-    manifests.guard(found.manifest, "pretraining", "train")
-    for purpose, selection in (("memorization_smoke", "all"), ("pretraining", "all")):
+        manifests.disjoint([found, other], [other])
+    rows = readers.read(spark, "manifest", at, "train").collect()
+    assert len(rows) == found.documents.count() and all(r.metadata["assigned_split"] == "train" and r.text.startswith("text number") for r in rows)
+    assert {r.metadata["document_id"] for r in rows} == {r.document_id for r in found.index.where("split = 'train'").collect()}
+    with pytest.raises(manifests.ManifestError, match="names"):
+        manifests.verify(spark, at, "train", expected="0" * 64)
+
+
+@pytest.mark.parametrize(
+    ("purpose", "selection", "access", "grant", "opens"),
+    [
+        ("pretraining", "train", "training", False, True), ("pretraining", "all", "training", False, False), ("memorization_smoke", "all", "training", False, True), ("memorization_smoke", "train", "training", False, False),
+        ("benchmark_dev", "all", "training", True, False), ("benchmark_dev", "all", "evaluation", False, True), ("benchmark_reserved", "all", "evaluation", False, False), ("benchmark_reserved", "all", "evaluation", True, True),
+        ("benchmark_reserved", "train", "evaluation", True, False), ("pretraining", "train", "other", False, False),
+    ],
+)
+def test_guard(purpose, selection, access, grant, opens):
+    if opens:
+        manifests.guard({"purpose": purpose}, selection, access, grant)
+    else:
         with pytest.raises(manifests.ManifestError):
-            manifests.guard(found.manifest, purpose, selection)
+            manifests.guard({"purpose": purpose}, selection, access, grant)
+
+
+def lazy():
+    from tessella.plans.checks import lazy_manifest
+
+    return lazy_manifest()
+
+
+def test_lazy_manifest_opens_and_scans(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at, files = tmp_path / "m.json", []
+    at.write_text(json.dumps(lazy()))
+    for i in range(2):
+        files.append(str(tmp_path / f"{i}.parquet"))
+        pq.write_table(pa.table({"text": [f"english text {i} {k}" for k in range(30)] + [None, "", "日本"], "doc_id": pa.array([k for k in range(30)] + [None, None, None], pa.int64()), "lang": ["en"] * 33, "source": [None] * 33, "other": [1] * 33}), files[-1])
+    m = lazy()
+    m["source"]["data_files"].append({"path": "more.parquet", "sha256": "1" * 64, "size_bytes": 5})
+    m["dataset_fingerprint"] = manifests.dataset_fingerprint_of(m)
+    m["manifest_fingerprint"] = manifests.fingerprint(m)
+    at.write_text(json.dumps(m))
+    train, other = (manifests.verify(spark, str(at), s) for s in ("train", "validation"))
+    assert train.lazy
+    manifests.disjoint([train], [other])
+    with pytest.raises(manifests.ManifestError, match="select"):
+        manifests.disjoint([train], [train])
+    sides = [readers.read(spark, "manifest", str(at), s, paths=files) for s in ("train", "validation")]
+    assert sum(s.count() for s in sides) == 60
+    row = sides[0].first()
+    assert row.metadata["artifact_path"] in ("documents.parquet", "more.parquet") and row.metadata["fallback_id"] == "false" and row.metadata["source"] is None
+    judged = manifests.scan(spark, train, files)
+    from tessella.operators.accounting import event_counts
+
+    counts = {r.event: r.n for r in event_counts(judged, "reason", ["text", "source"]).collect()}
+    assert counts["rows"] == 66 and counts["non_string"] == counts["empty"] == counts["wrong_script"] == 2 and counts["null:text"] == 2 and counts["null:source"] == 66
+    assert counts["accepted"] + counts["other_split_validation"] == 60
+    spark.read.parquet(files[0]).drop("lang").write.parquet(str(tmp_path / "x.parquet"))
+    with pytest.raises(ValueError, match="no column"):
+        manifests.scan(spark, train, [files[0], str(tmp_path / "x.parquet")])
+
+
+@pytest.mark.parametrize("change", ["dataset_fingerprint", "kind", "revision", "suffix", "size", "metadata", "policy", "method", "twice", "purpose", "empty"])
+def test_lazy_manifest_mutations_fail(spark, tmp_path, change):
+    m = lazy()
+    file = m["source"]["data_files"][0]
+    if change == "dataset_fingerprint":
+        m["dataset_fingerprint"] = "2" * 64
+    elif change == "kind":
+        m["source"]["kind"] = "hf"
+    elif change == "revision":
+        m["source"]["revision"] = "main"
+    elif change == "suffix":
+        file["path"] = "documents.json"
+    elif change == "size":
+        file["size_bytes"] = -1
+    elif change == "metadata":
+        m["source"]["metadata_fields"] = ["text"]
+    elif change == "policy":
+        m["document_policy"]["language"] = "xx"
+    elif change == "method":
+        m["split"]["method"] = "other"
+    elif change == "twice":
+        m["source"]["data_files"].append(dict(file))
+    elif change == "purpose":
+        m["purpose"] = "benchmark_dev"
+    elif change == "empty":
+        m["source"]["data_files"] = []
+    if change != "dataset_fingerprint":
+        m["dataset_fingerprint"] = manifests.dataset_fingerprint_of(m)
+    m["manifest_fingerprint"] = manifests.fingerprint(m)
+    at = tmp_path / "m.json"
+    at.write_text(json.dumps(m))
+    with pytest.raises(manifests.ManifestError):
+        manifests.verify(spark, str(at), "train" if change != "purpose" else "all", "training" if change != "purpose" else "evaluation")
+
+
+def test_lazy_and_indexed_sets_are_not_proven(spark, built, tmp_path):
+    at = tmp_path / "lazy.json"
+    at.write_text(json.dumps(lazy()))
+    with pytest.raises(manifests.ManifestError, match="proven"):
+        manifests.disjoint([manifests.verify(spark, str(at), "train")], [manifests.verify(spark, str(built / "d.manifest.json"), "validation")])
 
 
 @pytest.mark.parametrize("change", ["fingerprint", "data", "index", "field", "path", "duplicate"])
@@ -104,7 +206,7 @@ def test_manifest_mutations_fail(spark, built, change):
         m["manifest_fingerprint"] = manifests.fingerprint(m)
     at.write_text(json.dumps(m) if change != "duplicate" else '{"name":1,"name":2}')
     with pytest.raises(manifests.ManifestError):
-        manifests.verify(spark, str(at))
+        manifests.verify(spark, str(at), "train")
 
 
 def test_stream_resumes_where_it_stopped(spark, tmp_path):
