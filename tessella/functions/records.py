@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 import hashlib
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 from tessella.functions.text import canonical_json
@@ -85,3 +85,49 @@ def reproduction_holds(payload: Mapping[str, Any]) -> bool:
 def effective_tokens(batch: int, length: int, accumulation: int) -> int:
     """Target tokens of an optimizer update."""
     return batch * length * accumulation
+
+
+def split_seed(base: int, split: str) -> int:
+    """The seed of a side: training has the run's, validation the next."""
+    return base + ("train", "validation").index(split)
+
+
+def check_tokenizer(manifest: Mapping[str, Any], files: Mapping[str, bytes], vocabulary: Mapping[str, int], encode: Callable[[str], list[int]], decode: Callable[[list[int]], str]) -> None:
+    """A tokenizer is what its manifest says: file hashes and sizes, ids without gaps from 0, distinct special tokens at their ids, and probes that come back.
+
+    The manifest has ``files`` (name -> sha256, size_bytes), ``vocabulary_size``, ``special_tokens`` (token -> id) and ``probes`` (text, ids).
+    """
+    for name, want in manifest["files"].items():
+        data = files.get(name)
+        if data is None or len(data) != want["size_bytes"] or hashlib.sha256(data).hexdigest() != want["sha256"]:
+            raise ValueError(f"{name} isn't the file that the manifest names")
+    if sorted(vocabulary.values()) != list(range(manifest["vocabulary_size"])):
+        raise ValueError("ids must run from 0 without gaps")
+    special = manifest["special_tokens"]
+    if len(set(special.values())) != len(special) or any(vocabulary.get(t) != i for t, i in special.items()):
+        raise ValueError("special tokens must be distinct and have their ids")
+    for probe in manifest["probes"]:
+        ids = encode(probe["text"])
+        if ids != list(probe["ids"]) or decode(ids) != probe["text"]:
+            raise ValueError(f"the probe {probe['text']!r} doesn't come back")
+
+
+def check_plan(plan: Mapping[str, Any], regenerated: Sequence[Mapping[str, Any]], authority: Sequence[str]) -> None:
+    """An immutable plan: its hash binds it, its runs are the regenerated matrix, and its authority keys are distinct and those expected."""
+    if fingerprint({k: v for k, v in plan.items() if k != "plan_id"}) != plan.get("plan_id"):
+        raise ValueError("the plan was changed after its hash was made")
+    if list(plan["runs"]) != list(regenerated):
+        raise ValueError("the plan's runs aren't those of the matrix")
+    if len(set(authority)) != len(authority) or set(authority) != {f"{r['candidate_id']}/{r['repetition']}" for r in regenerated}:
+        raise ValueError("the authority keys aren't those of the plan")
+
+
+def comparable(signatures: Sequence[Mapping[str, Any]]) -> None:
+    """Reports can be compared if what they were made with is the same."""
+    if len({fingerprint(s) for s in signatures}) > 1:
+        raise ValueError("reports of different signatures can't be compared")
+
+
+def numbers_in(value: Any) -> dict[str, float]:
+    """Every finite number of a JSON value by its dotted path; booleans are none."""
+    return {".".join(map(str, path)): float(v) for path, v in walk(value) if isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v)}
