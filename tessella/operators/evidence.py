@@ -83,9 +83,9 @@ def weighted_nll(df: DataFrame, corpus: str, loss_sum: str, targets: str) -> Dat
 
 
 def compression(df: DataFrame, stratum: str, text: str, tokens: Column) -> DataFrame:
-    """Tokens, code points and bytes with their ratios, by stratum and over all (a null stratum)."""
+    """Tokens, code points and bytes with their ratios, and quantiles of a document's tokens, by stratum and over all (a null stratum)."""
     df = df.withColumns({"_t": tokens, "_c": F.length(text), "_b": F.octet_length(text)})
-    out = df.groupingSets([[F.col(stratum)], []], F.col(stratum)).agg(F.count("*").alias("documents"), F.sum("_t").alias("tokens"), F.sum("_c").alias("codepoints"), F.sum("_b").alias("bytes"))
+    out = df.groupingSets([[F.col(stratum)], []], F.col(stratum)).agg(F.count("*").alias("documents"), F.sum("_t").alias("tokens"), F.sum("_c").alias("codepoints"), F.sum("_b").alias("bytes"), *[F.expr(f"percentile(_t, {q})").alias(f"tokens_p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
     return out.withColumns({"tokens_per_byte": F.col("tokens") / F.col("bytes"), "tokens_per_codepoint": F.col("tokens") / F.col("codepoints")})
 
 

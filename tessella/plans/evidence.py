@@ -9,7 +9,7 @@ from tessella.functions import measures as M
 from tessella.operators import evidence as E
 from tessella.operators import selection as S
 from tessella.runtime import scratch, table
-from tessella.streaming.cursor import drain, event_windows, pack_stream
+from tessella.streaming.cursor import drain, event_windows, pack_stream, session_windows
 
 #: Microseconds since 1970 of a wall-clock time, whatever the session's zone.
 MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
@@ -68,7 +68,7 @@ def running_peak(spark, d):
 
 def compression_by_stratum(spark, d):
     out = E.compression(table(spark, d, "documents"), "lang", "text", F.octet_length("text") + 1)
-    return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), "documents", "tokens", "codepoints", "bytes", *[F.round(c, 6).alias(c) for c in ("tokens_per_byte", "tokens_per_codepoint")])
+    return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), "documents", "tokens", "codepoints", "bytes", *[F.round(c, 6).alias(c) for c in ("tokens_per_byte", "tokens_per_codepoint", "tokens_p50", "tokens_p95", "tokens_p99")])
 
 
 def nll_by_corpus(spark, d):
@@ -164,12 +164,27 @@ def multiset_difference(spark, d):
 
 def event_time_windows(spark, d):
     """Tumbling windows over a file stream with a watermark, run to the end."""
+    out = drain(event_windows(_event_stream(spark, d), "ts", "event_type", "value"), "complete", scratch(spark, "stream"))
+    return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.expr(f"timestamp_micros({MICROS})"))
-    out = drain(event_windows(stream, "ts", "event_type", "value"), "complete", scratch(spark, "stream"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.expr(f"timestamp_micros({MICROS})"))
+
+
+def sliding_windows(spark, d):
+    """Windows of a day that start every six hours."""
+    out = drain(event_windows(_event_stream(spark, d), "ts", "event_type", "value", "1 day", slide="6 hours"), "complete", scratch(spark, "stream"))
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def session_stream(spark, d):
+    """Sessions of a user as a stream: events less than six hours apart."""
+    out = drain(session_windows(_event_stream(spark, d), "ts", "user_id", "value", "6 hours"), "complete", scratch(spark, "stream"))
+    return out.select(F.unix_micros("session_window.start").alias("start"), "user_id", "n", F.round("total", 4).alias("total"))
+
+
 def stream_pack(spark, d):
     """Windows packed by a stateful stream of documents, a stream a source."""
     schema = table(spark, d, "documents").schema
@@ -185,7 +200,7 @@ QUERIES = {
         gap_analysis, coverage, longest_run, counter_delta, counter_falls, cadence_events, best_so_far, repeat_summary, window_edges, running_peak,
         compression_by_stratum, nll_by_corpus, step_summary, pareto_frontier, select_winner, constrained_choice, token_budget, supply_ratio, gate_vector,
         upload_admission, lr_schedule, vocabulary_cost, plan_vs_observed, preset_matrix, size_literals, bounded_events, multiset_difference,
-        event_time_windows, stream_pack,
+        event_time_windows, sliding_windows, session_stream, stream_pack,
     )
 }
 
@@ -209,8 +224,8 @@ SQL = {
     "window_edges": """SELECT user_id, round(median(value) FILTER (u <= s), 6) AS first_median, round(median(value) FILTER (u > n - s), 6) AS last_median, round(greatest(0, min(value) FILTER (u > n - s) - min(value) FILTER (u <= s)), 6) AS growth FROM (
       SELECT *, least(5, greatest(1, n // 2)) AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS u, count(*) OVER (PARTITION BY user_id) AS n FROM events)) GROUP BY user_id""",
     "running_peak": "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS peak FROM events",
-    "compression_by_stratum": """SELECT coalesce(lang, 'all') AS lang, documents, tokens, codepoints, bytes, round(tokens / bytes, 6) AS tokens_per_byte, round(tokens / codepoints, 6) AS tokens_per_codepoint FROM (
-      SELECT lang, count(*) AS documents, sum(strlen(text) + 1)::BIGINT AS tokens, sum(length(text))::BIGINT AS codepoints, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY GROUPING SETS ((lang), ()))""",
+    "compression_by_stratum": """SELECT coalesce(lang, 'all') AS lang, documents, tokens, codepoints, bytes, round(tokens / bytes, 6) AS tokens_per_byte, round(tokens / codepoints, 6) AS tokens_per_codepoint, round(p50, 6) AS tokens_p50, round(p95, 6) AS tokens_p95, round(p99, 6) AS tokens_p99 FROM (
+      SELECT lang, quantile_cont(strlen(text) + 1, 0.5)::DOUBLE AS p50, quantile_cont(strlen(text) + 1, 0.95)::DOUBLE AS p95, quantile_cont(strlen(text) + 1, 0.99)::DOUBLE AS p99, count(*) AS documents, sum(strlen(text) + 1)::BIGINT AS tokens, sum(length(text))::BIGINT AS codepoints, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY GROUPING SETS ((lang), ()))""",
     "nll_by_corpus": """SELECT coalesce(source, 'all') AS source, targets, round(l / targets, 6) AS nll, round(exp(l / targets), 4) AS perplexity, false AS overflow FROM (
       SELECT source, sum(strlen(text))::BIGINT AS targets, sum(strlen(text) * (1.0 + doc_id % 7)::DOUBLE) AS l FROM documents GROUP BY GROUPING SETS ((source), ()))""",
     "step_summary": """SELECT user_id AS run, sum(floor(value)::BIGINT)::BIGINT AS targets, round(sum(floor(value)::BIGINT) / (sum(value) + 0.25 * count(*) FILTER (event_type = 'click')), 6) AS targets_per_second,
@@ -234,5 +249,8 @@ SQL = {
     "multiset_difference": """WITH a AS (SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-16'), b AS (SELECT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-16')
       SELECT side, event_type, count(*) AS n FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY side, event_type""",
     "event_time_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "sliding_windows": "SELECT w * 21600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, epoch_us(ts) // 21600000000 - unnest([0, 1, 2, 3]) AS w FROM events) GROUP BY 1, 2",
+    "session_stream": """SELECT min(epoch_us(ts))::BIGINT AS start, user_id, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
+      SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
     "stream_pack": "SELECT source AS stream, (sum(strlen(text) + 1)::BIGINT - 1) // 1024 AS windows, (sum(strlen(text) + 1)::BIGINT - 1) // 1024 * 1024 AS targets FROM documents GROUP BY source HAVING (sum(strlen(text) + 1)::BIGINT - 1) // 1024 > 0",
 }

@@ -27,7 +27,9 @@ def top_parts_by_brand(spark, d):
     w = Window.partitionBy("p_brand").orderBy(F.desc("quantity"), "p_partkey")
     sums = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"))
     rows = sums.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("p_brand", "p_partkey", "quantity", "rank")
+    by = Window.partitionBy("p_brand").orderBy(F.desc("quantity"))
+    rows = rows.withColumns({"rank": F.row_number().over(w), "place": F.rank().over(by), "dense_place": F.dense_rank().over(by), "quarter": F.ntile(4).over(w)})
+    return rows.where("rank <= 3").select("p_brand", "p_partkey", "quantity", "rank", "place", "dense_place", "quarter")
 
 
 def last_click_before_purchase(spark, d):
@@ -58,7 +60,8 @@ SQL = {
     "revenue_by_nation": """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS items FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY n_name""",
     "priority_rollup": "SELECT coalesce(o_orderpriority, 'all') AS priority, coalesce(o_orderstatus, 'all') AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)",
-    "top_parts_by_brand": """SELECT p_brand, p_partkey, quantity, rank::INT AS rank FROM (SELECT p_brand, p_partkey, quantity, row_number() OVER (PARTITION BY p_brand ORDER BY quantity DESC, p_partkey) AS rank
+    "top_parts_by_brand": """SELECT p_brand, p_partkey, quantity, rank::INT AS rank, place::INT AS place, dense_place::INT AS dense_place, quarter::INT AS quarter FROM (SELECT p_brand, p_partkey, quantity, row_number() OVER (PARTITION BY p_brand ORDER BY quantity DESC, p_partkey) AS rank,
+        rank() OVER (PARTITION BY p_brand ORDER BY quantity DESC) AS place, dense_rank() OVER (PARTITION BY p_brand ORDER BY quantity DESC) AS dense_place, ntile(4) OVER (PARTITION BY p_brand ORDER BY quantity DESC, p_partkey) AS quarter
       FROM (SELECT l_partkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_partkey) JOIN part ON l_partkey = p_partkey) WHERE rank <= 3""",
     "last_click_before_purchase": """SELECT event_id, coalesce(click_id, -1) AS click_id FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase', event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS click_id FROM events WHERE event_type IN ('click', 'purchase')) WHERE event_type = 'purchase'""",

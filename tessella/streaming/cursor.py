@@ -133,9 +133,15 @@ def pack_stream(df: DataFrame, width: int, stream: str = "stream", order: str =
     return rows.groupBy("k").applyInPandasWithState(step, PACKED, "done long, runs string", "append", GroupStateTimeout.NoTimeout)
 
 
-def event_windows(events: DataFrame, at: str, by: str, value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts and sums by tumbling event-time window, with a watermark."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+def event_windows(events: DataFrame, at: str, by: str, value: str, width: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts and sums by tumbling event-time window, or by sliding ones that start every ``slide``; rows later than the watermark allows are left out of finished windows."""
+    window = F.window(at, width, slide) if slide else F.window(at, width)
+    return events.withWatermark(at, late).groupBy(window, by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def session_windows(events: DataFrame, at: str, by: str, value: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """Counts and sums by session: rows of one ``by`` less than ``gap`` apart."""
+    return events.withWatermark(at, late).groupBy(F.session_window(at, gap), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:

@@ -122,3 +122,44 @@ def test_running_total(spark):
     for i, n in rows:
         assert got[i] == at
         at += n
+
+
+def test_a_schedule_reads_only_what_quotas_reach(spark):
+    from tessella.operators import schedule
+
+    rows = [("a", i, 3 + i % 5) for i in range(500)] + [("b", i, 2 + i % 3) for i in range(500)] + [("c", i, 9) for i in range(50)]
+    df = spark.createDataFrame(rows, "source string, position long, n_tokens long")
+    lengths = {n: [r[2] for r in rows if r[0] == n] for n in "ab"}
+    for mix in (
+        schedule.Mix({"a": 0.7, "b": 0.3}, seed=5, quotas={"a": 70, "b": 40}), schedule.Mix({"a": 0.7, "b": 0.3}, seed=5, quotas={"a": 70, "b": 40}, buffer=6),
+        schedule.Mix({"a": 0.5, "b": 0.5}, seed=5, targets={"a": 60, "b": 60}, width=9, by_debt=True), schedule.Mix({"a": 0.5, "b": 0.5}, seed=5, quotas={"a": 70, "b": 70}, first={"a": 100, "b": 7}),
+    ):
+        assert schedule.needed(df, mix, "source", "position", "n_tokens").count() < 400
+        assert [tuple(r) for r in schedule.plan(df, mix).orderBy("emit_order").collect()] == schedule.replay(lengths, mix)
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A row behind the watermark of an earlier batch doesn't change a finished window."""
+    import datetime as dt
+    import time
+
+    from tessella.streaming.cursor import drain, event_windows
+
+    def batch(name, rows):
+        spark.createDataFrame([(dt.datetime(2024, 1, d, h), k, 1.0) for d, h, k in rows], "ts timestamp, k string, v double").coalesce(1).write.parquet(str(tmp_path / "tmp"))
+        [part] = list((tmp_path / "tmp").glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / "in" / name)
+        import shutil
+
+        shutil.rmtree(tmp_path / "tmp")
+        time.sleep(1.1)  # files are taken in the order of their times
+
+    batch("1.parquet", [(1, 1, "a"), (1, 2, "a"), (3, 0, "a")])
+    batch("2.parquet", [(3, 1, "a")])
+    batch("3.parquet", [(1, 3, "a")])  # rows are late against the mark of the batch before the last
+    batch("4.parquet", [(9, 0, "a")])
+    batch("5.parquet", [(9, 1, "a")])
+    stream = spark.readStream.schema("ts timestamp, k string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = drain(event_windows(stream, "ts", "k", "v", "1 day", "1 hour"), "append", str(tmp_path / "out")).collect()
+    assert {r["window"].start.day: r.n for r in rows} == {1: 2, 3: 2}
