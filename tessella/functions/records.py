@@ -131,3 +131,18 @@ def comparable(signatures: Sequence[Mapping[str, Any]]) -> None:
 def numbers_in(value: Any) -> dict[str, float]:
     """Every finite number of a JSON value by its dotted path; booleans are none."""
     return {".".join(map(str, path)): float(v) for path, v in walk(value) if isinstance(v, int | float) and not isinstance(v, bool) and math.isfinite(v)}
+
+
+def run_manifest(config: Mapping[str, Any], command: Sequence[str], inputs: Mapping[str, bytes], git_commit: str, lock: bytes) -> dict[str, Any]:
+    """What binds a run: its reproduction payload, the hashes of its inputs and of the lock of its packages, and its commit."""
+    hashes = {name: hashlib.sha256(data).hexdigest() for name, data in sorted(inputs.items())}
+    return reproduction(config, command) | {"inputs": hashes, "git_commit": git_commit, "lock_sha256": hashlib.sha256(lock).hexdigest()}
+
+
+def run_differences(manifest: Mapping[str, Any], inputs: Mapping[str, bytes], git_commit: str, lock: bytes) -> list[str]:
+    """What no longer is as the manifest of a run has it: inputs that are gone, changed or new, the commit, the lock, the configuration."""
+    now = {name: hashlib.sha256(data).hexdigest() for name, data in inputs.items()}
+    out = [f"input {n}" for n in sorted(set(now) | set(manifest["inputs"])) if now.get(n) != manifest["inputs"].get(n)]
+    out += ["git commit"] if git_commit != manifest["git_commit"] else []
+    out += ["lock"] if hashlib.sha256(lock).hexdigest() != manifest["lock_sha256"] else []
+    return out + ([] if reproduction_holds(manifest) else ["configuration"])

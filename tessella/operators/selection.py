@@ -58,6 +58,14 @@ def constrained_choice(df: DataFrame, eligible: Column, speed: str, depth: str,
     return df
 
 
+def only(df: DataFrame, what: str = "choice"):
+    """The one row of a choice that has to be unique; none or more is an error."""
+    rows = df.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"the {what} isn't unique" if rows else f"there is no {what}")
+    return rows[0]
+
+
 def elapsed(steps: Column, per_step: int, speed: Column, pauses: dict[str, tuple[int, float]], log_every: int, log_seconds: float, final_seconds: float) -> Column:
     """Seconds of a run of ``steps``: computing, log pauses by steps, other pauses by targets, and the end."""
     targets = steps * per_step

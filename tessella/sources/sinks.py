@@ -30,9 +30,16 @@ def as_form(df: DataFrame, form: str, width: int | None = None, full: int | None
     raise ValueError(f"unknown output form {form!r}; known: {', '.join(FORMS)}")
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """JSON lines of metrics rows; null fields are left out."""
-    df.write.mode("append").json(path)
+def append_metrics(df: DataFrame, path: str, keep_null: tuple[str, ...] = ()) -> None:
+    """JSON lines of metrics rows; null fields are left out, but for those named in ``keep_null``."""
+    if not keep_null:
+        df.write.mode("append").json(path)
+        return
+    some = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    nulls = F.concat_ws(",", *[F.when(F.col(f"`{c}`").isNull(), F.lit(json.dumps(c, ensure_ascii=False) + ":null")) for c in keep_null])
+    body = F.substring(some, F.lit(2), F.length(some) - 2)
+    line = F.concat(F.lit("{"), F.concat_ws(",", F.when(body != "", body), F.when(nulls != "", nulls)), F.lit("}"))
+    df.select(line.alias("value")).write.mode("append").text(path)
 
 
 def write_json(value: Any, path: str, pretty: bool = True) -> None:

@@ -13,6 +13,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Version of a cursor's format.
+CURSOR_VERSION = 1
+
+
 @dataclass
 class _Slice(InputPartition):
     artifact: int
@@ -21,7 +25,11 @@ class _Slice(InputPartition):
 
 
 class CorpusSource(DataSource):
-    """``corpus``: options ``files`` (a JSON list of Parquet paths in artifact order), ``columns`` (JSON list), ``fingerprint`` and ``rows`` a task."""
+    """``corpus``: options ``files`` (a JSON list of Parquet paths in artifact order), ``columns`` and ``names`` (JSON lists), ``fingerprint``, ``seed`` and ``rows`` a task.
+
+    An offset is a cursor: its format's version, the place of the next row, and what it is bound to: fingerprint, seed and
+    the data sets' names in order. A cursor of anything else is refused. ``complete`` marks the terminal one.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -39,17 +47,18 @@ class _Reader(DataSourceStreamReader):
         import pyarrow.parquet as pq
 
         self.files, self.columns = json.loads(options["files"]), json.loads(options["columns"])
-        self.fingerprint, self.rows = options.get("fingerprint", ""), int(options.get("rows", 1000))
+        self.bound = {"version": CURSOR_VERSION, "fingerprint": options.get("fingerprint", ""), "seed": int(options.get("seed", 0)), "names": json.loads(options.get("names", "[]"))}
+        self.rows = int(options.get("rows", 1000))
         self.sizes = [pq.ParquetFile(f).metadata.num_rows for f in self.files]
 
     def _offset(self, artifact: int, row: int) -> dict:
         while artifact < len(self.sizes) and row >= self.sizes[artifact]:
             artifact, row = artifact + 1, 0
-        return {"artifact": artifact, "fingerprint": self.fingerprint, "row": row}
+        return {"artifact": artifact, "row": row, "complete": artifact >= len(self.sizes), **self.bound}
 
     def _check(self, offset: dict) -> dict:
-        if offset.get("fingerprint", "") != self.fingerprint:
-            raise ValueError("the cursor belongs to another data set")
+        if wrong := [k for k, v in self.bound.items() if offset.get(k) != v]:
+            raise ValueError(f"the cursor belongs to another stream: {', '.join(wrong)}")
         return offset
 
     def initialOffset(self) -> dict:
@@ -85,9 +94,9 @@ class _Reader(DataSourceStreamReader):
         pass
 
 
-def corpus_stream(spark: SparkSession, files: list[str], columns: list[str], fingerprint: str = "", rows: int = 1000) -> DataFrame:
+def corpus_stream(spark: SparkSession, files: list[str], columns: list[str], fingerprint: str = "", rows: int = 1000, seed: int = 0, names: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(CorpusSource)
-    options = {"files": json.dumps(files), "columns": json.dumps(columns), "fingerprint": fingerprint, "rows": rows}
+    options = {"files": json.dumps(files), "columns": json.dumps(columns), "fingerprint": fingerprint, "rows": rows, "seed": seed, "names": json.dumps(names or [])}
     return spark.readStream.format("corpus").options(**options).load()
 
 

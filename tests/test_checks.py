@@ -108,3 +108,48 @@ def test_tokenizer_manifest():
     for change in ({"vocabulary_size": 4}, {"special_tokens": {"<e>": 1}}, {"probes": [{"text": "ab", "ids": [1]}]}, {"files": {"t": {"sha256": "0" * 64, "size_bytes": 4}}}):
         with pytest.raises(ValueError):
             records.check_tokenizer({**m, **change}, {"t": data}, vocab, encode, decode)
+
+
+def test_run_manifests():
+    m = records.run_manifest({"a": 1}, ["run"], {"x": b"1", "y": b"2"}, "c0", b"lock")
+    assert records.run_differences(m, {"x": b"1", "y": b"2"}, "c0", b"lock") == []
+    assert records.run_differences(m, {"x": b"3", "z": b""}, "c1", b"other") == ["input x", "input y", "input z", "git commit", "lock"]
+    assert records.run_differences({**m, "config": {"a": 2}}, {"x": b"1", "y": b"2"}, "c0", b"lock") == ["configuration"]
+
+
+def test_a_choice_has_to_be_unique(spark):
+    from tessella.operators import selection
+
+    assert selection.only(spark.range(1)).id == 0
+    for n, message in ((0, "no choice"), (2, "unique")):
+        with pytest.raises(ValueError, match=message):
+            selection.only(spark.range(n))
+
+
+def test_metrics_keep_named_nulls(spark, tmp_path):
+    import json
+
+    from tessella.sources import sinks
+
+    df = spark.createDataFrame([(1, None, None), (2, 0.5, "x"), (None, None, None)], "step int, loss double, note string").coalesce(1)
+    sinks.append_metrics(df, str(tmp_path / "m"), keep_null=("loss",))
+    lines = [json.loads(x) for f in (tmp_path / "m").glob("part-*") for x in f.read_text().splitlines()]
+    assert lines == [{"step": 1, "loss": None}, {"step": 2, "loss": 0.5, "note": "x"}, {"loss": None}]
+
+
+def test_cursors_are_bound(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessella.streaming.cursor import _Reader
+
+    pq.write_table(pa.table({"text": ["a", "b", "c"]}), str(tmp_path / "0.parquet"))
+    options = {"files": f'["{tmp_path}/0.parquet"]', "columns": '["text"]', "fingerprint": "f", "seed": "3", "names": '["a", "b"]', "rows": "2"}
+    reader = _Reader(options)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    assert not start["complete"] and end["complete"] and [(p.first, p.last) for p in reader.partitions(start, end)] == [(0, 2), (2, 3)]
+    for key, value in (("fingerprint", "g"), ("seed", "4"), ("names", '["b", "a"]')):
+        with pytest.raises(ValueError, match=key):
+            _Reader({**options, key: value}).partitions(start, end)
+    with pytest.raises(ValueError, match="version"):
+        reader.partitions({**start, "version": 0}, end)
