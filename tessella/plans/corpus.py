@@ -314,7 +314,7 @@ SQL = {
       ELSE left(text, list_max(list_filter(range({MOST_BYTES // 4}, {MOST_BYTES} + 1), lambda i: strlen(left(text, i)) <= {MOST_BYTES}))) END AS cut FROM documents)""",
     "pack_window_ids": f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, n, (sum(n) OVER (ORDER BY doc_id NULLS FIRST, n ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start FROM (SELECT doc_id, text, coalesce(strlen(text), 0) + 1 AS n FROM documents)),
       f AS (SELECT (sum(n)::BIGINT - 1) // {WIDTH - 1} AS w FROM d),
-      t AS (SELECT start + i AS p, CASE WHEN i = n - 1 THEN 7 ELSE ('0x' || substr(h, i * 2 + 1, 2))::INT + 8 END AS id FROM (SELECT start, h, n, unnest(range(0, n)) AS i FROM d)),
+      t AS (SELECT start + i AS p, ('0x' || x)::INT + 8 AS id FROM (SELECT start, unnest(regexp_extract_all(h, '..')) AS x, unnest(range(0, n - 1)) AS i FROM d) UNION ALL SELECT start + n - 1, 7 FROM d),
       a AS (SELECT p // {WIDTH - 1} AS k, sum(id)::BIGINT AS s FROM t GROUP BY 1), b AS (SELECT (p - 1) // {WIDTH - 1} AS k, sum(id)::BIGINT AS s FROM t WHERE p > 0 GROUP BY 1)
       SELECT a.k AS window_id, {WIDTH}::BIGINT AS n, a.s AS input_sum, b.s AS label_sum FROM a JOIN b USING (k) WHERE a.k < (SELECT w FROM f)""",
     "hash_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY md5('17:' || doc_id) NULLS FIRST, doc_id) - 1 AS place FROM documents",
