@@ -304,11 +304,8 @@ def test_lm_learns_from_all_documents(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-3 * -r.score for r in rows)
 
 
-def test_lm_beats_the_base_on_held_out_documents():
+def test_lm_beats_the_base_on_held_out_documents(spark):
     """Of invented prose without a link between words, on the smaller test tables, whole."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
     rows = [r for r in QUERIES["op5_lm_scores"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
