@@ -168,9 +168,13 @@ def event_time_windows(spark, d):
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def _stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of them: streams take a file by a pattern only, and a pattern takes both."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.expr(f"timestamp_micros({MICROS})"))
+    return _stream(spark, d, "events").withColumn("ts", F.expr(f"timestamp_micros({MICROS})"))
 
 
 def sliding_windows(spark, d):
@@ -187,9 +191,7 @@ def session_stream(spark, d):
 
 def stream_pack(spark, d):
     """Windows packed by a stateful stream of documents, a stream a source."""
-    schema = table(spark, d, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    rows = stream.select(F.col("source").alias("stream"), F.col("doc_id").alias("position"), F.col("lang").alias("source"), (F.octet_length("text") + 1).alias("n_tokens"))
+    rows = _stream(spark, d, "documents").select(F.col("source").alias("stream"), F.col("doc_id").alias("position"), F.col("lang").alias("source"), (F.octet_length("text") + 1).alias("n_tokens"))
     packed = drain(pack_stream(rows, 1025), "append", scratch(spark, "stream"))
     return packed.groupBy("stream").agg(F.countDistinct("window_id").alias("windows"), F.sum("source_targets").alias("targets"))
 

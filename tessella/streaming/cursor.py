@@ -107,38 +107,41 @@ def pack_stream(df: DataFrame, width: int, stream: str = "stream", order: str =
     """Windows of each stream of documents, with the targets of each source; what is left over waits in the state.
 
     A row a window and source. Within a batch documents are taken in ``order``; batches
-    come in order. The state holds the open window's runs: less than a window.
+    come in order. The state holds the open window's runs: less than a window. Documents
+    without a length or without tokens fill nothing.
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, runs = (state.get[0], json.loads(state.get[1])) if state.exists else (0, [])
-        rows = []
-        for pdf in [pd.concat(list(pdfs))]:
-            for name, n in pdf.sort_values("o")[["s", "n"]].itertuples(index=False):
-                runs.append([name, int(n)])
-        held = sum(n for _, n in runs)
-        k = 0
-        while held >= width:
-            credit: dict[str, int] = {}
-            left, at = width, 0
-            while left:
-                take = min(left, runs[k][1])
-                credit[runs[k][0]] = credit.get(runs[k][0], 0) + take - (1 if at == 0 else 0)
-                at, left = at + take, left - take
-                runs[k][1] -= take
-                last = runs[k][0]
-                k += runs[k][1] == 0
-            # The last token opens the next window.
-            if k and runs[k - 1][0] == last and runs[k - 1][1] == 0:
-                k -= 1
-            runs[k][1] += 1
-            held -= width - 1
-            rows += [(key[0], done, width, width - 1, s, t) for s, t in credit.items() if t]
-            done += 1
-        state.update((done, json.dumps(runs[k:])))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
-
-    rows = df.select(F.col(stream).alias("k"), F.col(order).alias("o"), F.col(source).alias("s"), F.col(length).cast("long").alias("n"))
+        rows, held = [], sum(n for _, n in runs)
+
+        def out():
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
+
+        for name, n in pd.concat(list(pdfs)).sort_values("o")[["s", "n"]].itertuples(index=False):
+            runs.append([name, int(n)])
+            held += int(n)
+            while held >= width:
+                credit: dict[str, int] = {}
+                left, at, k = width, 0, 0
+                while left:
+                    take = min(left, runs[k][1])
+                    credit[runs[k][0]] = credit.get(runs[k][0], 0) + take - (1 if at == 0 else 0)
+                    at, left = at + take, left - take
+                    runs[k][1] -= take
+                    last, k = k, k + (runs[k][1] == 0)
+                runs[last][1] += 1  # the last token opens the next window
+                held -= width - 1
+                del runs[:last]
+                rows += [(key[0], done, width, width - 1, s, t) for s, t in credit.items() if t]
+                done += 1
+            if len(rows) >= 100_000:
+                yield out()
+                rows = []
+        state.update((done, json.dumps(runs)))
+        yield out()
+
+    rows = df.select(F.col(stream).alias("k"), F.col(order).alias("o"), F.col(source).alias("s"), F.col(length).cast("long").alias("n")).where("n > 0")
     return rows.groupBy("k").applyInPandasWithState(step, PACKED, "done long, runs string", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -99,3 +99,19 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["event_time_windows", "sliding_windows", "session_stream", "stream_pack"])
+def test_streams_read_a_table_of_several_files(spark, tables, tmp_path, name):
+    """Tables are folders of files where they are large."""
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{DATA}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    got, want = CORE_QUERIES[name](spark, str(tmp_path)).toPandas(), tables.execute(CORE_SQL[name]).df()
+    assert len(want) and _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
+
+
+def test_odd_documents_are_packed_as_by_sql(spark, replaced):
+    """Of null texts nothing is packed."""
+    _, folder, c = replaced
+    got, want = CORE_QUERIES["stream_pack"](spark, folder).toPandas(), c.execute(CORE_SQL["stream_pack"]).df()
+    assert _rows(got, sorted(want.columns)) == _rows(want, sorted(want.columns))
