@@ -163,3 +163,23 @@ def test_late_rows_are_left_out(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, k string, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     rows = drain(event_windows(stream, "ts", "k", "v", "1 day", "1 hour"), "append", str(tmp_path / "out")).collect()
     assert {r["window"].start.day: r.n for r in rows} == {1: 2, 3: 2}
+
+
+def test_a_complete_result_stays_with_the_executors(spark, tmp_path):
+    """It is a table of files, not rows of the driver; a later run replaces it, and no input gives none."""
+    import datetime as dt
+
+    from tessella.streaming.cursor import drain, session_windows
+
+    (tmp_path / "in").mkdir()
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, k string, v double").parquet(str(tmp_path / "in"))
+        return drain(session_windows(stream, "ts", "k", "v", "6 hours"), "complete", str(tmp_path / "out"))
+
+    assert run().count() == 0
+    for hours, want in (([0, 1, 9], [1, 2]), ([5], [4])):  # the second run joins both sessions
+        spark.createDataFrame([(dt.datetime(2024, 1, 1, h), "a", 1.0) for h in hours], "ts timestamp, k string, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = run()
+        assert sorted(r.n for r in rows.collect()) == want
+        assert rows.inputFiles() and all(str(tmp_path / "out") in f for f in rows.inputFiles())
