@@ -8,10 +8,10 @@ most ``HEAD`` frequent words of at most ``LONG`` bytes, and one number a vocabul
 
 *Model.* The causal self-attention model of ``attention``. Its output classes come from
 the neighbours of every id in all training documents, and its shares of classes from all their counts.
-Its weights are trained on windows of all training documents: it starts on the driver, on
-at most ``windows`` of them (the least by hash), for ``PASSES`` passes; then one in ``train_every`` windows
-of every document (by hash, so that the work a document costs is the same at every size) are dealt
-to shards of about ``SHARD`` ids and passed once: each shard trains from that start, and
+Its weights are trained on all windows of all training documents: it starts on the driver, on
+at most ``windows`` of them (the least by hash), for ``PASSES`` passes; then every window
+(one in ``train_every`` by hash, if a caller asks for fewer) is dealt
+to a shard of about ``SHARD`` ids and passed once: each shard trains from that start, and
 the weights are averaged, those of the embeddings by how often a shard has the id.
 
 *Scores.* Texts are read once: subword ids, and the base for frequent words; the ids
@@ -48,7 +48,7 @@ from tessella.runtime import materialize
 
 HEAD, LONG, BUCKET, FLUSH, OTHERS, PASSING = 200_000, 256, 1_000_000, 300_000, 500_000, 65_536
 #: Ids of a shard, windows that a shard holds at once, parts in which tables by id are summed, and passes over the starting windows.
-SHARD, HELD, PARTS, PASSES = 2_000_000, 250_000, 64, 4
+SHARD, HELD, PARTS, PASSES = 4_000_000, 250_000, 64, 4
 _readers: dict[int, "Reader"] = {}
 
 
@@ -256,16 +256,21 @@ def _window_batches(begin: int, every: int, start: int, batches: Iterator[pa.Rec
             some = np.flatnonzero(share | (own < np.uint64(start)))
             if some.size:
                 shares.append(share[some])
-                last = y[some, -1:]
-                rows.append(np.hstack([x[some], np.where(last < 0, begin, last)]).astype(np.int32))
+                aims = y[some]  # a text's last id is a target only: its inputs don't have it
+                rows.append(np.hstack([x[some, : attention.CONTEXT + 1], np.where(aims < 0, begin, aims)]).astype(_kind(begin)))
                 hashes.append(own[some])
         if rows:
             h, r = np.concatenate(hashes).view(np.int64), np.concatenate(rows)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([x.tobytes() for x in r], pa.binary()), pa.array(np.concatenate(shares))], names=["h", "row", "share"])
 
 
+def _kind(begin: int) -> type:
+    """Of an id in a window's row; none is above ``begin``."""
+    return np.uint16 if begin < 1 << 16 else np.int32
+
+
 def _inputs(rows: list[bytes], begin: int) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(b"".join(rows), np.int32).reshape(len(rows), -1)
+    a = np.frombuffer(b"".join(rows), _kind(begin)).reshape(len(rows), -1).astype(np.int32)
     y = a[:, attention.CONTEXT + 1 :]
     return np.ascontiguousarray(a[:, :-1]), np.where(y == begin, -1, y)
 
@@ -410,9 +415,11 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, end: int
 
     about = max(1, int(counts.sum()) // attention.STEP)
     below = (1 << 63) - 1 if about <= 1.5 * windows else int(1.5 * windows / about * 2**63)
-    made = texts.select(F.xxhash64("_id", "ids").alias("h"), "ids").mapInArrow(partial(_window_batches, model.begin, train_every, below), "h long, row binary, share boolean")
-    made = materialize(made, "windows")
-    first = made.where(F.col("h") < below).orderBy("h", "row").limit(windows).select("row").toArrow()  # at most ``windows`` rows of SPAN + 1 ids
+
+    def made(every: int, start: int) -> DataFrame:
+        return texts.select(F.xxhash64("_id", "ids").alias("h"), "ids").mapInArrow(partial(_window_batches, model.begin, every, start), "h long, row binary, share boolean")
+
+    first = made(1 << 63, below).where(F.col("h") < below).orderBy("h", "row").limit(windows).select("row").toArrow()  # at most ``windows`` rows of SPAN + 1 ids
     if first.num_rows:
         x, y = _inputs(first["row"].to_pylist(), model.begin)
         del first
@@ -420,7 +427,8 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, end: int
             model.train(x, y, epochs=PASSES)
 
     shards = max(1, -(-int(counts.sum()) // (SHARD * train_every)))
-    dealt = made.where("share").select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "row")
+    # Windows are made once more rather than kept: their rows repeat the context.
+    dealt = made(train_every, 0).select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "row")
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "row")
     shared = spark.sparkContext.broadcast(model)
     changes = dealt.mapInArrow(partial(_shard_batches, shared), "part int, shard long, ids binary, n binary, change binary")
@@ -430,7 +438,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, end: int
     return model
 
 
-def score_texts(docs: DataFrame, vocabulary_path: str, held_mod: int = 7, held: int = 2, end_id: int = 49407, id_col: str = "doc_id", text_col: str = "text", windows: int = 40_000, train_every: int = 16) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary_path: str, held_mod: int = 7, held: int = 2, end_id: int = 49407, id_col: str = "doc_id", text_col: str = "text", windows: int = 40_000, train_every: int = 1) -> DataFrame:
     """``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row.
 
     Documents whose crc32(id as text) mod ``held_mod`` is ``held`` are held out.

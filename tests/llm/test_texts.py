@@ -342,6 +342,26 @@ def test_the_share_of_windows_follows_the_input():
         taken = max(taken, len(rows))
 
 
+def test_every_id_of_every_document_is_a_training_target():
+    """As the query is called: from texts to the counts that a shard weighs its change by."""
+    import inspect
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tessella.llm import attention
+
+    every = inspect.signature(lm.score_texts).parameters["train_every"].default
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 3000, n).astype("<u4") for n in (1, 31, 32, 33, 700, 5000)]
+    model = attention.Model(np.bincount(np.concatenate(texts), minlength=3000), np.arange(3000) % attention.CLASSES)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array([x.tobytes() for x in texts])], names=["h", "ids"])
+    made = pa.Table.from_batches(list(lm._window_batches(model.begin, every, 0, [batch])))
+    dealt = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(made), np.int64)), *[made.column(i).combine_chunks() for i in (0, 1)]], names=["shard", "h", "row"])
+    [rest] = [r for b in lm._shard_batches(SimpleNamespace(value=model), [dealt]) for r in b.to_pylist() if r["part"] == -1]
+    assert np.frombuffer(rest["n"], np.int64).tolist() == [sum(map(len, texts))]
+
+
 def test_scores_equal_one_id_at_a_time():
     """Batched windows and the two levels of the softmax against plain sums over all ids for one position at a time."""
     from tessella.llm import attention
