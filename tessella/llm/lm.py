@@ -48,7 +48,7 @@ from tessella.runtime import materialize
 
 HEAD, LONG, BUCKET, FLUSH, OTHERS, PASSING = 200_000, 256, 1_000_000, 300_000, 500_000, 65_536
 #: Ids of a shard, windows that a shard holds at once, parts in which tables by id are summed, and passes over the starting windows.
-SHARD, HELD, PARTS, PASSES = 4_000_000, 250_000, 64, 4
+SHARD, HELD, PARTS, PASSES = 2_000_000, 250_000, 64, 4
 _readers: dict[int, "Reader"] = {}
 
 
@@ -83,6 +83,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _id_batches(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _readers.clear()  # the reading is over: a reader's words are the most that a worker holds
     total = np.zeros(size, np.int64)
     for batch in batches:
         total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=size)
@@ -183,6 +184,7 @@ def _read_batches(vocabulary: Vocabulary, shared, end: int, batches: Iterator[pa
 
 def _score_batches(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(uid, ids) -> (uid, score)."""
+    _readers.clear()
     model = shared.value
     made = model.prepared()
     for batch in batches:
@@ -212,6 +214,7 @@ def _array(ids: bytes) -> np.ndarray:
 
 def _near_batches(marks: np.ndarray, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ids) -> rows (part, places id * 256 + mark, counts), a part a task; a text's first id stands behind an end."""
+    _readers.clear()
     near, one = np.zeros(len(marks) * 256, np.int32), np.int32(1)  # of one type: else each addition is a cast
     for batch in batches:
         for data in batch.column(0):
@@ -277,6 +280,7 @@ def _inputs(rows: list[bytes], begin: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _shard_batches(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, h, row) in this order -> rows (part, shard, ids, weights, changes): embeddings by part, and all else in part -1."""
+    _readers.clear()
     start = shared.value
     shard, held, model, seen, aims = None, [], None, None, 0
 
