@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -43,12 +43,13 @@ from pyspark.sql import functions as F
 from tessella.llm import attention
 from tessella.llm.blas import one_thread
 from tessella.llm.parity_join import _ODD, mix
-from tessella.llm.tokens import Vocabulary
+from tessella.llm.tokens import MARKS, Vocabulary
 from tessella.runtime import materialize
 
 HEAD, LONG, BUCKET, FLUSH, OTHERS, PASSING = 200_000, 256, 1_000_000, 300_000, 500_000, 65_536
 #: Ids of a shard, windows that a shard holds at once, parts in which tables by id are summed, and passes over the starting windows.
 SHARD, HELD, PARTS, PASSES = 2_000_000, 250_000, 64, 4
+_MARKS = MARKS.encode()
 _readers: dict[int, "Reader"] = {}
 
 
@@ -91,10 +92,10 @@ def _id_batches(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
 
-def _hash(w: bytes) -> int:
+def _hasher() -> Callable[[bytes], int]:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(w)
+    return xxhash.xxh3_64_intdigest
 
 
 class _Places(dict):
@@ -121,20 +122,32 @@ class Reader:
         self.hash = np.zeros(self.most + PASSING, np.uint64)
         self.places = _Places(self.place)
         self.ids: list[bytes] = []
+        self.merged, self.tail = self.encoder.merged, self.encoder.units.end
+        self.hashed = _hasher()
 
     def place(self, w: bytes) -> int:
         k, n = len(self.ids), self.head.get(w)
         if n is None:
-            self.hash[k] = _hash(w)
+            self.hash[k] = self.hashed(w)
             self.log[k] = np.nan
         else:
             self.log[k] = math.log10(n + 1)
-        text = w.decode("utf-8", "replace")
-        self.ids.append(self.encoder.whole(text) if "<|" in text else self.encoder.units.once(text))
+        self.ids.append(self.subwords(w))
         if k < self.most:
             self.places[w] = k
         return k
 
+    def subwords(self, w: bytes) -> bytes:
+        """The ids of a word. Letters of ASCII, which ``words`` made small, are one pre-token, and marks behind them others."""
+        if w.isalpha():
+            return self.merged(w.decode())
+        core = w.rstrip(_MARKS)
+        if core.isalpha():
+            at = self.places.get(core)
+            return (self.merged(core.decode()) if at is None else self.ids[at]) + self.tail(w[len(core) :].decode())
+        text = w.decode("utf-8", "replace")
+        return self.encoder.whole(text) if "<|" in text else self.encoder.units.once(text)
+
     def read(self, data: bytes | None) -> tuple[int, float, int, np.ndarray, bytes]:
         """Words; sum of log10(count + 1) and number of frequent ones; hashes of the others; ids."""
         seq = words(data)
@@ -359,7 +372,7 @@ def _split_batches(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
 def _pack_batches(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) -> rows (bucket, 0, null, hashes, counts)."""
     for batch in batches:
-        h = np.array([_hash(w) for w in batch.column(0).to_pylist()], np.uint64)
+        h = np.array(list(map(_hasher(), batch.column(0).to_pylist())), np.uint64)
         n, b = batch.column(1).to_numpy(), (h % np.uint64(buckets)).astype(np.int64)
         rows = [(int(x), h[b == x].tobytes(), n[b == x].astype(np.int64).tobytes()) for x in np.unique(b)]
         x, hs, ns = zip(*rows, strict=True) if rows else ((), (), ())

@@ -83,9 +83,10 @@ class _Units(dict):
         if found is None:
             return self.whole(self.lead + unit)
         core, tail = found.groups()
-        return self.letters(core) + self._end(tail) if tail else self.letters(core)
+        return self.letters(core) + self.end(tail) if tail else self.letters(core)
 
-    def _end(self, tail: str) -> bytes:
+    def end(self, tail: str) -> bytes:
+        """The ids of marks behind letters."""
         end = self.tails.get(tail)
         if end is None:
             end = self.whole(tail)
@@ -103,7 +104,7 @@ class _Units(dict):
                 ids = self.whole(self.lead + unit)
         else:
             core, tail = found.groups()
-            ids = self[core] + self._end(tail) if tail else self.letters(core)
+            ids = self[core] + self.end(tail) if tail else self.letters(core)
         if len(self) < CACHE_UNITS:
             self[unit] = ids
         return ids
@@ -124,12 +125,12 @@ class Encoder:
         self.written = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x20, 0x100)}
         self.space = self.written[0x20]
         if byte_level:
-            self.firsts = _Units(self.whole, self._merged, "", line=self.whole("\n"))
+            self.firsts = _Units(self.whole, self.merged, "", line=self.whole("\n"))
             self.units = _Units(self.whole, self._after_space, " ", self.firsts, self.firsts.line)
         else:
             self.units = _Units(self.whole, self._lowered, "")
 
-    def _merged(self, letters: str) -> bytes:
+    def merged(self, letters: str) -> bytes:
         """Ids of a pre-token of letters."""
         return array("I", [t.id for t in self.model(letters if letters.isascii() else letters.translate(self.written))]).tobytes()
 
@@ -143,7 +144,7 @@ class Encoder:
 
     def _lowered(self, letters: str) -> bytes:
         low = letters.lower()
-        return self._merged(low) if low == letters else self.units[low]
+        return self.merged(low) if low == letters else self.units[low]
 
     def whole(self, text: str) -> bytes:
         """The library's ids of a text."""

@@ -282,6 +282,21 @@ def test_rare_words_pass_the_buckets(spark, tmp_path, monkeypatch):
     assert all(abs(one[i] - two[i]) < 1e-6 * max(1, -one[i]) for i in one)
 
 
+def test_a_word_is_merged_once_whatever_marks_follow(spark):
+    """And has the ids that the library gives it."""
+    import public_tokenizers
+
+    from tessella.llm.tokens import Vocabulary
+
+    reader = lm.Reader(Vocabulary(spark, public_tokenizers.path("word_bpe_49k.json")), {})
+    library, merged, calls = reader.encoder.library, reader.merged, []
+    reader.merged = lambda letters: calls.append(letters) or merged(letters)
+    for text in ("Window window, window. WINDOW?! pane; pane", "pane, <|x|> window<| window|< caf\u00e9, caf\u00e9 a-b, ..."):
+        ids = reader.read(text.encode())[4]
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(" ".join(w.decode() for w in lm.words(text.encode())), add_special_tokens=False).ids
+    assert calls.count("window") == 1 and calls.count("pane") <= 2
+
+
 def test_lm_odd_tables(spark, tmp_path):
     assert QUERIES["op5_lm_scores"](spark, write(none(spark), tmp_path)).count() == 0
 
